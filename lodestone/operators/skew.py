@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize
+
 SHARE = 0.01  # a key is heavy from this share of all rows on; so there are at most 1 / SHARE of them
 SALTS = 16
 SALT = "__salt"
@@ -78,3 +80,25 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str, heavy: Sequ
         return left.join(right, key, how)
     spread = F.when(F.col(key).isin(list(heavy)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return with_salt(left, key, heavy, by, salts).join(right.withColumn(SALT, F.explode(spread)), [key, SALT], how).drop(SALT)
+
+
+def ranked_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, heavy_by: str, heavy: Sequence, unique: bool = False) -> DataFrame:
+    """Adds ``name``: 1 + the number of rows of the group that come before, by ``order`` (``unique``: row numbers).
+
+    Groups are ranked by a window each. Groups of which column ``heavy_by`` holds a heavy value are cut instead by
+    range partitioning on (group, order), ranked inside each range, and shifted by the rows in the ranges before;
+    only those counts, at most one per range and group, come together. Equal rows fall into one range.
+    """
+    place = F.row_number() if unique else F.rank()
+    window = place.over(Window.partitionBy(*group).orderBy(*order)).cast("long")
+    if not heavy:
+        return df.withColumn(name, window)
+    is_hot = F.coalesce(F.col(heavy_by).isin(list(heavy)), F.lit(False))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = materialize(df.where(is_hot).repartitionByRange(4 * n, *group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = hot.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = hot.withColumn(name, place.over(Window.partitionBy(*group, "__range").orderBy(*order)).cast("long"))
+    shifted = inside.join(F.broadcast(offsets), [*group, "__range"]).withColumn(name, F.col(name) + F.col("__off"))
+    return df.where(~is_hot).withColumn(name, window).unionByName(shifted.drop("__range", "__off"))
