@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import log_entropy, pack_bins, term_counts
+from lodestone.llm import leaks, log_entropy, pack_bins, quality, rank_scores, split_text, term_counts
 
-_MODULES = [log_entropy, pack_bins, term_counts]
+_MODULES = [split_text, term_counts, rank_scores, log_entropy, pack_bins, leaks, quality]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
