@@ -27,18 +27,21 @@ def text_stats(docs: DataFrame, common: list[str], text_col: str = "text") -> Da
 
     A null text gives no row, an empty or blank one zeros. All of each text counts. Columns of the same names are replaced.
     """
-    t = F.col(text_col)
-    solid = F.translate(t, _BLANKS, "")
-    n_chars = F.length(solid)
-    n_words = F.when(n_chars > 0, F.size(F.split(F.trim(t, F.lit(_BLANKS)), "[ \t\n\r]+"))).otherwise(0)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != "")
-    ended = F.size(F.filter(lines, lambda x: F.substring(x, -1, 1).isin(".", "!", "?")))
-    letters = F.split(F.regexp_replace(F.lower(t), "[^\\p{L} \t\n\r]+", ""), "[ \t\n\r]+")
+    # Each step is used more than once by the next, so the optimizer keeps them apart and nothing is computed twice.
+    t, keep = F.col(text_col), [c for c in docs.columns if c not in FEATURES]
+    blanks = "[ \t\n\r]+"
+    parts = docs.where(t.isNotNull()).select(
+        *keep, t.alias("__text"), F.array_remove(F.split(t, blanks), "").alias("__words"),
+        F.array_remove(F.transform(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), "").alias("__lines"))
+    letters = F.split(F.regexp_replace(F.lower("__text"), "[^\\p{L} \t\n\r]+", ""), blanks)
     known = F.size(F.filter(letters, lambda w: w.isin(common))) if common else F.lit(0)
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return docs.where(t.isNotNull()).withColumns({
-        "n_words": n_words.cast("int"), "mean_word_length": share(n_chars, n_words), "symbol_ratio": share(F.length(F.regexp_replace(solid, "[\\p{L}\\p{N}]+", "")), n_chars),
-        "line_end_share": share(ended, F.size(lines)), "common_share": share(known, n_words)})
+    counts = parts.select(
+        *keep, F.length(F.array_join("__words", "")).alias("__chars"), F.length(F.regexp_replace("__text", "[\\p{L}\\p{N} \t\n\r]+", "")).alias("__symbols"), F.size("__words").alias("n_words"),
+        F.size("__lines").alias("__n_lines"), F.size(F.filter("__lines", lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))).alias("__ended"), known.alias("__known"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return counts.select(
+        *keep, "n_words", share("__chars", "n_words").alias("mean_word_length"), share("__symbols", "__chars").alias("symbol_ratio"),
+        share("__ended", "__n_lines").alias("line_end_share"), share("__known", "n_words").alias("common_share"))
 
 
 def stats_of(text: str, common: set[str]) -> tuple:
