@@ -28,13 +28,13 @@ from lodestone.sources.tables import known_time, table
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 SKETCH_BITS = 20  # counts by hash: a fixed 2 ** 20 counters, whatever the size of the collection
 SKETCH_ROWS = 256  # rows that carry the counters
-PART_KEYS = 2_000_000  # keys brought together in one task
+PART_KEYS = 4_000_000  # keys brought together in one task
 CHUNK_DOCS, CHUNK_BYTES = 4096, 2 << 20  # texts handled at once
 PAIRS_AT_ONCE = 1 << 21
 HOT_RUN = 8192  # a key of more texts is compared in blocks of HOT_BLOCK, spread over all tasks
 HOT_BLOCK = 2048
 FILTER_BITS = 22  # of the bitmap of texts that occur in candidates
-SIGNATURE = 192  # bits of the parity signature of a set of up to 136 elements; twice as many for each doubling
+SIGNATURE, SIGNED = 192, 102  # bits of the parity signature of a set of up to SIGNED elements; twice as many for each doubling
 
 _P = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -122,42 +122,53 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(n * (2 * t - 1) - 1e-9).astype(np.int64) + 1
 
 
-def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(level, bits) of each set: the parity of its elements by hash modulo SIGNATURE * 2 ** level."""
-    level = np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 136)), 0, 12).astype(np.int64)
-    out: list[bytes] = [b""] * len(sizes)
-    for v in np.unique(level):
+def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(level of each set, packed bits of the sets of each level): the parity of the elements by hash modulo SIGNATURE * 2 ** level."""
+    level = np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / SIGNED)), 0, 12).astype(np.uint8)
+    out: dict[int, np.ndarray] = {}
+    for v in np.unique(level).tolist():
         at = np.flatnonzero(level == v)
-        width = SIGNATURE << int(v)
+        width = SIGNATURE << v
         place = np.full(len(sizes), -1)
         place[at] = np.arange(len(at))
+        packed = []
         for i in range(0, len(at), step := max(1, (1 << 22) // width)):
             mine = (place[row] >= i) & (place[row] < i + step)
             n = min(step, len(at) - i)
             bits = np.bincount((place[row[mine]] - i) * width + (h[mine] % np.uint64(width)).astype(np.int64), minlength=n * width) & 1
-            packed = np.packbits(bits.astype(bool).reshape(n, width), axis=1, bitorder="little")
-            for j in range(n):
-                out[at[i + j]] = packed[j].tobytes()
+            packed.append(np.packbits(bits.astype(bool).reshape(n, width), axis=1, bitorder="little"))
+        out[v] = np.concatenate(packed)
     return level, out
 
 
 class Sets:
-    """Sizes and signatures of sets, for the filters on pairs."""
+    """Sizes and signatures of sets, for the filters on pairs. bits: packed rows of each level, in the order of the sets."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, signs: list[bytes], t: float):
-        self.ids, self.sizes, self.t = ids, sizes, t
-        words = np.array([len(s) // 8 for s in signs], np.int64)
-        self.level = np.log2(np.maximum(words, 1) * 64 / SIGNATURE).round().astype(np.int64)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, level: np.ndarray, bits: dict[int, np.ndarray], t: float):
+        self.ids, self.sizes, self.level, self.bits, self.t = ids, sizes.astype(np.int64), level, bits, t
+        # A pair is compared at its lower level; a signature folds to half its width by adding its halves.
         self.by_level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        folded = {i: np.frombuffer(s, np.uint64) for i, s in enumerate(signs)}
-        for v in range(int(self.level.max(initial=0)), -1, -1):
-            at = np.flatnonzero(self.level >= v)
-            for i in at[self.level[at] > v]:
-                half = len(folded[i]) // 2
-                folded[i] = folded[i][:half] ^ folded[i][half:]
+        above, above_at = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for v in range(int(level.max(initial=0)), -1, -1):
+            own_at, words = np.flatnonzero(level == v), (SIGNATURE << v) // 64
+            own = np.ascontiguousarray(bits[v]).view(np.uint64) if v in bits else np.zeros((0, words), np.uint64)
+            if len(above_at):
+                own, own_at = np.concatenate([own, above[:, :words] ^ above[:, words:]]), np.concatenate([own_at, above_at])
             place = np.zeros(len(ids), np.int64)
-            place[at] = np.arange(len(at))
-            self.by_level[v] = place, np.stack([folded[i] for i in at]) if len(at) else np.zeros((0, 3), np.uint64)
+            place[own_at] = np.arange(len(own_at))
+            self.by_level[v] = place, own
+            above, above_at = own, own_at
+
+    def slim(self, at: np.ndarray) -> tuple:
+        """What a task elsewhere needs to compare these sets."""
+        level = self.level[at]
+        return self.ids[at], self.sizes[at], level, {v: self.by_level[v][1][self.by_level[v][0][at[level == v]]].view(np.uint8) for v in np.unique(level).tolist()}
+
+    @staticmethod
+    def joined(parts: list[tuple], t: float) -> Sets:
+        levels = {v for p in parts for v in p[3]}
+        bits = {v: np.concatenate([p[3][v] for p in parts if v in p[3]]) for v in levels}
+        return Sets(*[np.concatenate([p[i] for p in parts]) for i in range(3)], bits, t)
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs may reach the threshold: by length, then by the suffix filter on signatures (the number of elements in
@@ -263,7 +274,10 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             ids = b.column(0).to_numpy()
             row, h = sorted_sets(b.column(1), k, rarity)
             sizes = np.bincount(row, minlength=len(ids))
-            _, signs = signatures(row, h, sizes)
+            level, signs = signatures(row, h, sizes)
+            place = np.zeros(len(ids), np.int64)
+            for v in signs:
+                place[level == v] = np.arange(len(signs[v]))
             key = neighbour_keys(row, h)
             row, key = _unique(row, key_rarity[_bucket(key)], key)
             n_keys = np.bincount(row, minlength=len(ids))
@@ -278,7 +292,9 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             blobs = []
             for a, z in zip(edges[:-1], edges[1:]):
                 own, many = np.unique(row[a:z], return_counts=True)  # keys are still sorted by row inside a part
-                blobs.append(pickle.dumps((ids[own], sizes[own].astype(np.int32), many.astype(np.int32 if many.max() > 65535 else np.uint16), short[a:z], [signs[i] for i in own]), 5))
+                mine = level[own]
+                small = np.uint8 if many.max() < 256 else np.int32
+                blobs.append(pickle.dumps((ids[own], sizes[own].astype(np.uint16 if sizes[own].max() < 65536 else np.int64), mine, {v: signs[v][place[own[mine == v]]] for v in np.unique(mine).tolist()}, many.astype(small), short[a:z]), 5))
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
@@ -288,9 +304,9 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by_part.setdefault(p, []).append(pickle.loads(blob))
         for blobs in by_part.values():
-            sets = Sets(np.concatenate([x[0] for x in blobs]), np.concatenate([x[1] for x in blobs]).astype(np.int64), [s for x in blobs for s in x[4]], t)
-            key = np.concatenate([x[3] for x in blobs]).astype(np.uint64)
-            doc = np.repeat(np.arange(len(sets.ids)), np.concatenate([x[2] for x in blobs]))
+            sets = Sets.joined([x[:4] for x in blobs], t)
+            key = np.concatenate([x[5] for x in blobs]).astype(np.uint64)
+            doc = np.repeat(np.arange(len(sets.ids)), np.concatenate([x[4] for x in blobs]))
             size = np.minimum(sets.sizes, (1 << 32) - 1).astype(np.uint64)
             both = (key << np.uint64(32)) | size[doc]
             order = np.argsort(both, kind="stable")
@@ -308,22 +324,21 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
                 _emit(sets, doc[at[i]], doc[j], seen)
                 yield from _flushed(seen, 1_000_000)
             yield from _flushed(seen, 0)
-            sign = [s for x in blobs for s in x[4]]
             for s, n in hot_runs:
                 cuts = [doc[i : min(i + HOT_BLOCK, s + n)] for i in range(s, s + n, HOT_BLOCK)]
                 for y in range(len(cuts)):
                     for x in range(y + 1):
                         if sets.sizes[cuts[x]].max() < t * sets.sizes[cuts[y]].min():
                             continue
-                        blob = pickle.dumps([(sets.ids[c], sets.sizes[c], [sign[i] for i in c]) for c in (cuts[x], cuts[y])], 5)
+                        blob = pickle.dumps([sets.slim(cuts[x]), sets.slim(cuts[y])], 5)
                         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=["a", "b", "blob"])
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(2).to_pylist():
-                (ix, sx, gx), (iy, sy, gy) = pickle.loads(blob)
-                sets, seen = Sets(np.concatenate([ix, iy]), np.concatenate([sx, sy]), [*gx, *gy], t), []
-                for i, j in _pairs(np.full(len(ix), len(ix)), np.full(len(ix), len(iy))):
+                x, y = pickle.loads(blob)
+                sets, seen = Sets.joined([x, y], t), []
+                for i, j in _pairs(np.full(len(x[0]), len(x[0])), np.full(len(x[0]), len(y[0]))):
                     _emit(sets, i, j, seen)
                 yield from _flushed(seen, 0)
 
