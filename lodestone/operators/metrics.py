@@ -32,8 +32,9 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, recall_depth: int |
 
 
 def aggregate(rows: DataFrame) -> DataFrame:
-    """Means over queries to 4 decimals, and their number; zeros for none."""
-    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    """Means over queries to 4 decimals, and their number; zeros for none. Rounding to 9 decimals first takes out what the
+    order of summation leaves, so that a mean half way between two values rounds the same way every time."""
+    mean = lambda c: F.round(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9), 4)
     return rows.agg(mean("ap").alias("map"), mean("recall").alias("recall"), mean("p").alias("p_at_k"), mean("ndcg").alias("ndcg_at_k"), F.count(F.lit(1)).alias("num_queries"))
 
 

@@ -428,7 +428,7 @@ def eval_per_query(spark, d):
     return rows.select("qid", *[F.round(c, 6).alias(c) for c in ("p", "recall", "ap", "ndcg")])
 
 
-_AGG = "SELECT round(avg(ap), 4) AS map, round(avg(recall), 4) AS recall, round(avg(p), 4) AS p_at_k, round(avg(ndcg), 4) AS ndcg_at_k, count(*) AS num_queries FROM pq"
+_AGG = "SELECT round(round(avg(ap), 9), 4) AS map, round(round(avg(recall), 9), 4) AS recall, round(round(avg(p), 9), 4) AS p_at_k, round(round(avg(ndcg), 9), 4) AS ndcg_at_k, count(*) AS num_queries FROM pq"
 
 
 @query("eval_aggregate", f"WITH {_QRELS}, {_RUN}, {_EVAL.format(run='run')} {_AGG}")
