@@ -77,7 +77,8 @@ def suffix_array(x: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(per):
         key <<= bits
-        key[: n - k] |= x[k:]
+        if k < n:
+            key[: n - k] |= x[k:]
     sa = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
     rank = np.empty(n, np.int64)

@@ -21,6 +21,7 @@ _LINE = re.compile(r"\r\n|\n|\r")
 _SENTENCE = re.compile(r"""[.!?…]+["'”’)\]]*[ \t\r\n]+""")
 _WORD = re.compile(r"(?<=[ \t\r\n])(?=[^ \t\r\n])|(?<=[^ \t\r\n])(?=[ \t\r\n])")
 _LEVELS = [*_HEADING, _PARAGRAPH, _ITEM, _LINE, _SENTENCE, _WORD]
+_BLANK = re.compile(r"[ \t\r\n]")
 _WORD_START = re.compile(r"(?<=[ \t\r\n])[^ \t\r\n]")
 _BLANKS = " \t\r\n"
 
@@ -52,9 +53,18 @@ def _pack(text: str, a: int, b: int, level: int, limit: int, room: int) -> list[
     return out
 
 
+def _stretch(text: str, cut: int) -> int:
+    """The length of the stretch without blanks that goes on over a cut; 0 if there is a blank at it."""
+    if text[cut - 1] in _BLANKS or text[cut] in _BLANKS:
+        return 0
+    end = _BLANK.search(text, cut)
+    return (end.start() if end else len(text)) - max(text.rfind(c, 0, cut) for c in _BLANKS) - 1
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
     """(start, end, overlap, hard) of the pieces text[start:end]: each at most ``limit`` long, the first ``overlap``
-    characters of it repeating the end of the piece before. hard: its end cuts a stretch without blanks.
+    characters of it repeating the end of the piece before. hard: its end cuts a stretch without blanks that is longer
+    than the limit (a cut at markup inside a shorter one is a natural one).
     """
     if len(text) <= limit:
         return [(0, len(text), 0, False)]
@@ -65,8 +75,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         if 0 < most and text[at - 1 : at] not in ("", *_BLANKS):  # begin the overlap at a word, if one begins there
             m = _WORD_START.search(text, at, a)
             at = m.start() if m else at
-        hard = b < len(text) and text[b - 1] not in _BLANKS and text[b] not in _BLANKS
-        out.append((at, b, a - at, hard))
+        out.append((at, b, a - at, b < len(text) and _stretch(text, b) > limit))
         last = a
     return out
 
