@@ -23,7 +23,7 @@ _SCHEMA = pa.schema([("term", pa.string()), ("h", pa.int64()), ("occurrences", p
 
 def _scratch() -> str:
     """A folder for one task inside the executor's own spill directory; the task removes it at its end."""
-    roots = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("SPARK_EXECUTOR_DIRS") or tempfile.gettempdir()
+    roots = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or tempfile.gettempdir()
     root = roots.split(os.pathsep)[0].split(",")[0]
     os.makedirs(root, exist_ok=True)
     return tempfile.mkdtemp(prefix="radix-", dir=root)
