@@ -342,7 +342,7 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
                     _emit(sets, i, j, seen)
                 yield from _flushed(seen, 0)
 
-    met = materialize(texts.mapInArrow(keys, "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "a long, b long, blob binary"), "met")
+    met = materialize(texts.mapInArrow(keys, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(meet, "a long, b long, blob binary"), "met")
     blocks = met.where("blob is not null")
     candidates = met.where("blob is null").select("a", "b").unionByName(blocks.repartition(parts).mapInArrow(meet_blocks, "a long, b long, blob binary").select("a", "b"))
     candidates = materialize(candidates.distinct(), "candidates")
