@@ -20,6 +20,10 @@ def edits(word: str) -> set[str]:
     return out | {a + c + b[1:] for a, b in cuts if b for c in ascii_lowercase} | {a + c + b for a, b in cuts for c in ascii_lowercase}
 
 
+SHORT = 24  # letters up to which a word is matched by what deletions leave; longer ones by unchanged segments
+_SEGMENTS = 5  # two edits touch at most four of them
+
+
 def _shorter(word: str, n: int) -> set[str]:
     """The word and what is left of it after up to n deletions."""
     level, out = {word}, {word}
@@ -29,12 +33,51 @@ def _shorter(word: str, n: int) -> set[str]:
     return out
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    return [(n * i // _SEGMENTS, n * (i + 1) // _SEGMENTS) for i in range(_SEGMENTS)]
+
+
+def asked_keys(word: str) -> list[str]:
+    """Keys of which a word shares one with every dictionary word (see ``known_keys``) up to two edits away."""
+    if len(word) <= SHORT:
+        return sorted(_shorter(word, 2))
+    n = len(word)
+    return sorted({f"{m}:{i}:{word[a + s : b + s]}" for m in range(n - 2, n + 3) for i, (a, b) in enumerate(_segments(m)) for s in range(-2, 3) if a + s >= 0 and b + s <= n})
+
+
+def known_keys(word: str) -> list[str]:
+    n = len(word)
+    out = list(_shorter(word, 2)) if n <= SHORT + 2 else []
+    return out + ([f"{n}:{i}:{word[a:b]}" for i, (a, b) in enumerate(_segments(n))] if n > SHORT - 2 else [])
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether ``most`` edits lead from a to b: what both begin and end with is left out, then each edit is tried where they
+    begin to differ, from either side."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a and not b:
+        return True
+    if most == 0 or abs(len(a) - len(b)) > most:
+        return False
+    tries = [(a[1:], b), (a, b[1:]), (a[1:], b[1:])] if a and b else [(a[1:], b[1:])]
+    tries += [(a[1] + a[0] + a[2:], b)] if len(a) > 1 else []
+    tries += [(a, b[1] + b[0] + b[2:])] if len(b) > 1 else []
+    return any(within(x, y, most - 1) for x, y in tries)
+
+
 def corrections(asked: DataFrame, dictionary: DataFrame, df_of: DataFrame, stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(word, best) for words (column word) that have a correction.
 
     Not corrected: words in the dictionary, of three letters or fewer, or whose stem has df > 0. Candidates are dictionary
     words one edit away, else two; the one with the greatest df of its stem wins (ties: first by letters), if that is > 0.
-    Words are matched by what both leave after up to two deletions, so no list of all strings two edits away is made.
+    Words are matched by what both leave after up to two deletions, long ones by segments that two edits can't all touch, so
+    no list of all strings two edits away is made.
     df_of is (term, df); stemmer maps the column term, by default not at all.
     """
     stem_of = stemmer or (lambda d: d)
@@ -44,17 +87,19 @@ def corrections(asked: DataFrame, dictionary: DataFrame, df_of: DataFrame, stemm
     open_ = with_df(open_, "word").where("df = 0").select("word")
 
     @F.pandas_udf("array<string>")
-    def parts(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: sorted(_shorter(w, 2)))
+    def left_keys(s: pd.Series) -> pd.Series:
+        return s.map(asked_keys)
+
+    @F.pandas_udf("array<string>")
+    def right_keys(s: pd.Series) -> pd.Series:
+        return s.map(known_keys)
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        near: dict[str, set[str]] = {}
-        get = lambda w: near.setdefault(w, edits(w)) if len(near) < 10_000 else edits(w)
-        return pd.Series([1 if y in get(x) else 2 if not get(x).isdisjoint(edits(y)) else 3 for x, y in zip(a, b)])
+        return pd.Series([1 if within(x, y, 1) else 2 if within(x, y, 2) else 3 for x, y in zip(a, b)])
 
-    left = open_.select("word", F.explode(parts("word")).alias("part"))
-    right = dictionary.select("cand", F.explode(parts("cand")).alias("part"))
+    left = open_.select("word", F.explode(left_keys("word")).alias("part"))
+    right = dictionary.select("cand", F.explode(right_keys("cand")).alias("part"))
     pairs = left.join(right, "part").where(F.abs(F.length("word") - F.length("cand")) <= 2).select("word", "cand").distinct()
     pairs = pairs.withColumn("d", distance("word", "cand")).where("d <= 2")
     nearest = pairs.join(pairs.groupBy("word").agg(F.min("d").alias("m")), "word").where("d = m")

@@ -1,6 +1,8 @@
 import math
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
@@ -167,6 +169,25 @@ def test_edits_and_corrections(spark):
     assert got == {1: ("The school, condom!", {"Shcool": "school", "condm": "condom"}), 2: ("fine", {}), 3: ("", {})}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=6), st.text("abc", max_size=6))
+def test_within_equals_generated_edits(a, b):
+    one = refine.edits(a) | {a}
+    assert refine.within(a, b, 1) == (b in one)
+    assert refine.within(a, b, 2) == (not one.isdisjoint(refine.edits(b) | {b}))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=18, max_size=34), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 33), st.sampled_from("abcz")), max_size=2))
+def test_edited_words_share_a_key(word, changes):
+    w = word
+    for kind, i, c in changes:
+        i = min(i, len(w) - 1)
+        w = w[:i] + w[i + 1 :] if kind == 0 else w[:i] + c + w[i:] if kind == 1 else w[:i] + c + w[i + 1 :] if kind == 2 else w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]
+    assert not set(refine.asked_keys(w)).isdisjoint(refine.known_keys(word))
+    assert len(refine.asked_keys("q" * 20_000)) < 200
+
+
 def test_synonyms(spark):
     qs = spark.createDataFrame([(1, "big car fast")], "qid int, text string")
     syn = spark.createDataFrame([("big", 1, 1, "big"), ("big", 1, 2, "very_large"), ("big", 1, 3, "large"), ("big", 2, 1, "grown"), ("car", 1, 1, "large"), ("car", 1, 2, "auto"), ("fast", 1, 1, "rare")], "word string, sense int, pos int, lemma string")
