@@ -336,6 +336,21 @@ def mean_pool(spark, d):
     return dense.mean_vectors(toks, vectors).select("doc_id", "i", F.round("value", 6).alias("value"))
 
 
+@query("window_pairs", f"""WITH t AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, {_SPLIT.format(c='text')} AS toks FROM documents))
+SELECT toks[i] AS center, toks[i + o] AS context, count(*) AS n FROM t, (SELECT unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS o) WHERE i + o BETWEEN 1 AND len(toks) GROUP BY ALL""")
+def window_pairs(spark, d):
+    """V11"""
+    pairs = dense.window_pairs(_docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("tokens")))
+    return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sampling_shares", f"WITH {TOK}, v AS (SELECT term, count(*) AS n FROM tok GROUP BY term HAVING count(*) >= 2) SELECT term, round(n ** 0.75 / (SELECT sum(n ** 0.75) FROM v), 9) AS share FROM v")
+def sampling_shares(spark, d):
+    """V9, V10"""
+    vocabulary = dense.training_vocabulary(_docs(spark, d).select(T.tokens(F.col("text")).alias("tokens")), most=None)
+    return dense.sampling_shares(vocabulary).select("term", F.round("share", 9).alias("share"))
+
+
 @query("word2vec_similar")
 def word2vec_similar(spark, d):
     """Trained on the documents' tokens"""
