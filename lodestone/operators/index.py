@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,24 +43,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", text_col: str | None = None) -> Index:
+def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", text_col: str | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
     """The index of a corpus; ``tokens`` gives each row's array of terms.
 
     Null terms are dropped, a null array is an empty one; documents without terms count in N and have length 0 and norm 0.
-    Ids must be unique and not null (see ``check_unique``). An empty corpus has N 0 and avgdl 0.
+    Ids must be unique and not null (see ``check_unique``). An empty corpus has N 0 and avgdl 0. ``keep`` (table, name), such as
+    ``session.materialize``, writes each stage once, so that texts are tokenized once however many parts are used.
     """
+    keep = keep or (lambda df, name: df)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.coalesce(tokens, F.array().cast("array<string>"))).alias("tokens"))
-    postings = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    rows = keep(rows, "tokens")
+    postings = keep(rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")), "postings")
     lengths = rows.select("doc_id", F.size("tokens").cast("long").alias("length"))
     counts = lengths.agg(F.count(F.lit(1)).alias("num_docs"), F.sum("length").alias("total"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = df.select("term", "df", F.log(counts.select("num_docs").scalar() / F.col("df")).alias("idf"))
+    terms = keep(df.select("term", "df", F.log(counts.select("num_docs").scalar() / F.col("df")).alias("idf")), "terms")
     weight = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     norms = postings.join(terms.select("term", "idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("tfidf_norm"))
-    doc_rows = lengths.join(norms, "doc_id", "left").select("doc_id", "length", F.coalesce("tfidf_norm", F.lit(0.0)).alias("tfidf_norm"))
-    n_terms = df.agg(F.count(F.lit(1)).alias("total_terms"))
+    doc_rows = keep(lengths.join(norms, "doc_id", "left").select("doc_id", "length", F.coalesce("tfidf_norm", F.lit(0.0)).alias("tfidf_norm")), "docs")
+    n_terms = terms.agg(F.count(F.lit(1)).alias("total_terms"))
     meta = counts.select(
         "num_docs", F.when(F.col("num_docs") > 0, F.coalesce(F.col("total"), F.lit(0)) / F.col("num_docs")).otherwise(0.0).alias("avgdl"), n_terms.scalar().alias("total_terms"))
+    meta = keep(meta, "meta")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw_text")) if text_col else None
     return Index(postings, terms, doc_rows, meta, texts)
 
