@@ -1,5 +1,6 @@
 """Problem 2: the most similar vectors of every vector, by score-aware anisotropic quantisation and exact reranking.
 
+Equal vectors are searched for once: the first of their rows stands for all, and brings the others along as neighbours.
 The collection is cut into leaves around centroids. Inside its leaf each vector is stored as four-bit codes, one per
 few dimensions, chosen to keep the error parallel to the vector small (it is that part that changes inner products).
 A query scans the codes of its nearest leaves through the code tables, and the best are compared exactly.
@@ -9,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import materialize
@@ -27,6 +29,7 @@ RERANK = 64  # candidates per query and leaf block that are compared exactly
 THRESHOLD = 0.2  # inner products from which errors matter: gives the weight of the parallel error
 CODES = 16  # four bits
 SUB = 2  # dimensions per code
+SAME = 1e-6  # centroids whose cosine falls short of 1 by less are one place
 
 
 @dataclass
@@ -76,19 +79,49 @@ def _encode(r: np.ndarray, x: np.ndarray, tables: np.ndarray, eta: float, sweeps
     return codes
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and the product with it."""
+    own, score = np.empty(len(x), np.int64), np.empty(len(x), x.dtype)
+    for a in range(0, len(x), 4096):
+        s = x[a : a + 4096] @ centroids.T
+        own[a : a + 4096] = s.argmax(1)
+        score[a : a + 4096] = s.max(1)
+    return own, score
+
+
+def _apart(centroids: np.ndarray) -> np.ndarray:
+    """Numbers of the centroids without those that nearly equal an earlier one."""
+    repeats = np.zeros(len(centroids), bool)
+    for a in range(0, len(centroids), 512):
+        near = centroids[a : a + 512] @ centroids.T > 1 - SAME
+        repeats[a : a + 512] = near.argmax(1) < np.arange(a, a + len(near))
+    return np.flatnonzero(~repeats)
+
+
 def fit(x: np.ndarray, leaves: int, seed: int = 7, rounds: int = 8) -> Quantiser:
-    """Spherical k-means for the leaves, then code tables by alternating codes and weighted least squares."""
+    """Spherical k-means for the leaves, then code tables by alternating codes and weighted least squares.
+
+    It starts at distinct vectors; after each round centroids without rows or equal to another move to the distinct rows
+    worst served, and those left in the end are dropped. So every leaf holds rows of x, and no two are the same place.
+    """
     rng = np.random.default_rng(seed)
     n, dim = x.shape
-    leaves = max(1, min(leaves, n))
-    centroids = x[rng.choice(n, leaves, replace=False)].copy()
-    for _ in range(rounds):
-        own = (x @ centroids.T).argmax(1)
+    distinct = np.sort(np.unique(np.round(x, 3), axis=0, return_index=True)[1])
+    leaves = max(1, min(leaves, len(distinct)))
+    centroids = x[rng.choice(distinct, leaves, replace=False)].copy()
+    for i in range(rounds):
+        own, score = _nearest(x, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centroids)
-    own = (x @ centroids.T).argmax(1)
+        idle = np.setdiff1d(np.arange(leaves), np.intersect1d(_apart(centroids), own))
+        if len(idle) and i < rounds - 1:
+            far = distinct[np.argsort(score[distinct], kind="stable")][: len(idle)]
+            centroids[idle[: len(far)]] = x[far]
+    centroids = centroids[_apart(centroids)]
+    centroids = centroids[np.unique(_nearest(x, centroids)[0])]  # leaves that hold a row keep it when empty ones go
+    own, _ = _nearest(x, centroids)
     r, cut = _cut(x - centroids[own]), _cut(x)
     m = r.shape[1]
     eta = max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
@@ -151,70 +184,95 @@ def _unit(v: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1)
+
+
 def neighbours(vectors: DataFrame, k: int = 10, probes: int = PROBES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(model, vec_row, neighbour, cosine): for every usable row the k rows of the same model and length with the greatest cosine.
 
     Fewer where the model has fewer other rows in the leaves looked into; ties by smaller vec_row. Rows repeated with
-    one vec_row count once, unusable rows not at all, and equal vectors under different vec_rows are neighbours.
-    Centroids and tables are fitted on at most about TRAIN_ROWS rows of each model, chosen by a hash; every row is stored and
-    every row is a query. A leaf with many rows is cut into blocks, and each pair of blocks is its own group.
+    one vec_row count once, unusable rows not at all, and equal vectors under different vec_rows are neighbours: they are
+    stored and asked for once, as the smallest vec_row with the next k, so a large group of copies costs no more than one row.
+    Centroids and tables are fitted on at most about TRAIN_ROWS distinct vectors of each model, chosen by a hash; every row is
+    stored and every row is a query. A leaf with many rows is cut into blocks, and each pair of blocks is its own group.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors).select(F.concat_ws("/", "model", F.size("vec")).alias("space"), "model", "vec_row", "vec"), "usable")
+
+    def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for space, g in f.groupby("space", sort=False):
+                x = [v.tobytes() for v in _unit(g["vec"]) + np.float32(0)]  # -0.0 is 0.0
+                yield pd.DataFrame({"space": space, "vec_row": g["vec_row"].to_numpy(), "same": [md5(v).digest() for v in x], "vec": x})
+
+    usable_rows = usable(vectors).select(F.concat_ws("/", "model", F.size("vec")).alias("space"), "vec_row", "vec")
+    unit = materialize(usable_rows.mapInPandas(units, "space string, vec_row long, same binary, vec binary"), "unit")
+    first = Window.partitionBy("space", "same").orderBy("vec_row")  # cut to k + 1 rows a group before the shuffle
+    heads = unit.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).groupBy("space", "same").agg(
+        F.min("vec_row").alias("vec_row"), F.sort_array(F.collect_list("vec_row")).alias("copies"), F.min_by("vec", "vec_row").alias("vec"))
+    rows = materialize(heads, "heads")
     counts = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
     fitted: dict[str, Quantiser] = {}
     for space, n in counts.items():
         share = min(1.0, TRAIN_ROWS / n)
         some = rows.where((F.col("space") == space) & (F.pmod(F.xxhash64("vec_row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-        sample = _unit(some.orderBy("vec_row").limit(2 * TRAIN_ROWS).select("vec").toPandas()["vec"]) if n else None
+        sample = _matrix(some.orderBy("vec_row").limit(2 * TRAIN_ROWS).select("vec").toPandas()["vec"])
         fitted[space] = fit(sample, min(MAX_LEAVES, max(1, round(n / leaf_rows)), max(1, len(sample) // 4)))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for space, g in f.groupby("space", sort=False):
-                q, x = fitted[space], _unit(g["vec"])
+                q, x = fitted[space], _matrix(g["vec"])
                 near = q.leaves(x, probes)
                 codes = q.encode(x, near[:, 0])
                 packed = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = packed[:, 0::2] | (packed[:, 1::2] << 4)
-                yield pd.DataFrame({"space": space, "vec_row": g["vec_row"].to_numpy(), "leaf": near[:, 0].astype(np.int32), "probes": list(near.astype(np.int32)), "codes": [c.tobytes() for c in packed], "vec": [v.tobytes() for v in x]})
+                yield pd.DataFrame({"space": space, "vec_row": g["vec_row"].to_numpy(), "leaf": near[:, 0].astype(np.int32), "probes": list(near.astype(np.int32)), "codes": [c.tobytes() for c in packed], "copies": g["copies"], "vec": g["vec"]})
 
-    kind = "space string, vec_row long, leaf int, probes array<int>, codes binary, vec binary"
+    kind = "space string, vec_row long, leaf int, probes array<int>, codes binary, copies array<long>, vec binary"
     if not counts:
         return spark.createDataFrame([], "model string, vec_row long, neighbour long, cosine double")
-    placed = materialize(rows.select("space", "vec_row", "vec").mapInPandas(place, kind), "placed")
+    placed = materialize(rows.select("space", "vec_row", "copies", "vec").mapInPandas(place, kind), "placed")
     stored = placed.groupBy("space", "leaf").agg(F.count(F.lit(1)).alias("n_rows"))  # one row per leaf: MAX_LEAVES per model at most
     asked = placed.select("space", F.explode("probes").alias("leaf")).groupBy("space", "leaf").agg(F.count(F.lit(1)).alias("n_queries"))
     blocks = stored.join(asked, ["space", "leaf"]).select(
         "space", "leaf", F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("int").alias("n_data"), F.ceil(F.col("n_queries") / (2 * BLOCK_ROWS)).cast("int").alias("n_ask"))
     blocks = F.broadcast(materialize(blocks, "blocks"))
     part = lambda n: F.pmod(F.xxhash64("vec_row"), F.col(n)).cast("int")
-    data = placed.select("space", "leaf", "vec_row", "codes", "vec").join(blocks, ["space", "leaf"]).select(
-        "space", "leaf", part("n_data").alias("db"), F.explode(F.sequence(F.lit(0), F.col("n_ask") - 1)).alias("qb"), "vec_row", "codes", "vec")
+    data = placed.select("space", "leaf", "vec_row", "codes", "copies", "vec").join(blocks, ["space", "leaf"]).select(
+        "space", "leaf", part("n_data").alias("db"), F.explode(F.sequence(F.lit(0), F.col("n_ask") - 1)).alias("qb"), "vec_row", "codes", "copies", "vec")
     ask = placed.select("space", F.explode("probes").alias("leaf"), "vec_row", "vec").join(blocks, ["space", "leaf"]).select(
-        "space", "leaf", F.explode(F.sequence(F.lit(0), F.col("n_data") - 1)).alias("db"), part("n_ask").alias("qb"), "vec_row", F.lit(None).cast("binary").alias("codes"), "vec")
+        "space", "leaf", F.explode(F.sequence(F.lit(0), F.col("n_data") - 1)).alias("db"), part("n_ask").alias("qb"), "vec_row", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("array<long>").alias("copies"), "vec")
 
     def scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         q = fitted[key[0]]
-        x = np.frombuffer(b"".join(g["vec"]), np.float32).reshape(len(g), -1)
+        x = _matrix(g["vec"])
         is_data, ids = g["codes"].notna().to_numpy(), g["vec_row"].to_numpy()
         if not is_data.any() or is_data.all():
             return pd.DataFrame({"space": [], "vec_row": [], "ids": [], "cos": []})
         packed = np.frombuffer(b"".join(g["codes"][is_data]), np.uint8).reshape(int(is_data.sum()), -1)
         codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, : q.tables.shape[0]]
         data_x, data_ids, ask_x, ask_ids = x[is_data], ids[is_data], x[~is_data], ids[~is_data]
-        out_ids, out_cos = [], []
+        copies = g["copies"][is_data].to_numpy()
+        size, out_ids, out_cos = np.array([len(c) for c in copies]), [], []
         for a in range(0, len(ask_ids), 512):
             at, cos = best_in_block(ask_x[a : a + 512], ask_ids[a : a + 512], data_x, data_ids, codes, key[1], q, k, RERANK)
             for row, c in zip(at, cos):
-                out_ids.append(data_ids[row[row >= 0]])
-                out_cos.append(c[row >= 0])
+                row, c = row[row >= 0], c[row >= 0]
+                ids, c = (data_ids[row], c) if (size[row] == 1).all() else (np.concatenate(copies[row]), np.repeat(c, size[row]))
+                first = np.lexsort((ids, -c))[:k]
+                out_ids.append(ids[first])
+                out_cos.append(c[first])
         return pd.DataFrame({"space": key[0], "vec_row": ask_ids, "ids": out_ids, "cos": out_cos})
 
     found = data.unionByName(ask).groupBy("space", "leaf", "db", "qb").applyInPandas(scan, "space string, vec_row long, ids array<long>, cos array<float>")
     pairs = F.transform(F.arrays_zip("ids", "cos"), lambda p: F.struct((-p["cos"]).alias("minus"), p["ids"].alias("id")))
     merged = found.select("space", "vec_row", pairs.alias("p")).groupBy("space", "vec_row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
-    flat = merged.select("space", "vec_row", F.explode("p").alias("p"))
+    groups = rows.select("space", "same", "vec_row", "copies").join(merged, ["space", "vec_row"]).select("space", "same", "copies", "p")
+    copy = lambda c: F.struct(F.lit(-1.0).cast("float").alias("minus"), c.alias("id"))
+    others = F.transform(F.filter("copies", lambda c: c != F.col("vec_row")), copy)
+    best = F.when(F.size("copies") > 1, F.slice(F.array_sort(F.concat(others, "p")), 1, k)).otherwise(F.col("p"))
+    flat = unit.select("space", "same", "vec_row").join(groups, ["space", "same"]).select("space", "vec_row", F.explode(best).alias("p"))
     return flat.select(F.regexp_replace("space", "/[0-9]+$", "").alias("model"), "vec_row", F.col("p.id").alias("neighbour"), (-F.col("p.minus")).cast("double").alias("cosine"))
 
 

@@ -59,3 +59,35 @@ def test_anisotropic_codes_favour_the_parallel_error():
     sv_codes = sv._encode(sv._cut(base), sv._cut(x), q.tables, 10.0, 2)
     assert along(sv_codes) < along(plain)
     assert q.decode(plain).shape == (2000, 16) and plain.max() < 16
+
+
+def with_copies(n, seed):
+    """A third of the rows are copies of the vector in the middle of the others."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 24)) + 1
+    x = (centres[rng.integers(0, 40, n)] + 0.6 * rng.normal(size=(n, 24))).astype(np.float32)
+    hot = rng.random(n) < 1 / 3
+    x[hot] = x[~hot].mean(0)
+    return x, hot
+
+
+def test_leaves_are_distinct_and_hold_rows():
+    x, _ = with_copies(3000, 6)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = sv.fit(x, 60)
+    assert len(q.centroids) >= 50 and set(q.leaves(x, 1)[:, 0]) == set(range(len(q.centroids)))
+    between = q.centroids @ q.centroids.T - 2 * np.eye(len(q.centroids))
+    assert between.max() < 1 - 1e-6
+
+
+def test_a_third_of_the_rows_are_copies(spark):
+    x, hot = with_copies(3000, 6)
+    got = {}
+    for r in sv.neighbours(frame(spark, x), 10, probes=8, leaf_rows=50).collect():
+        got.setdefault(r.vec_row, set()).add(r.neighbour)
+    copies = np.flatnonzero(hot)
+    for i in (copies[0], copies[7], copies[-1]):
+        assert got[i] == set([c for c in copies if c != i][:10])
+    true = brute(x.astype(np.float64), 10)
+    others = np.flatnonzero(~hot)
+    assert len(got) == 3000 and np.mean([len(got[i] & true[i]) / 10 for i in others]) >= 0.9
