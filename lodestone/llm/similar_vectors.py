@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from lodestone.sources.tables import table
 TRAIN_ROWS = 20_000  # bound of the sample per model on which centroids and codes are fitted
 LEAF_ROWS = 400  # vectors per leaf aimed at
 MAX_LEAVES = 4096  # beyond LEAF_ROWS * MAX_LEAVES vectors leaves grow, and are scanned in blocks
-PROBES = 16  # leaves a query looks into
+PROBES = 16  # leaves a query looks into at least; the square root of their number if that is more
 BLOCK_ROWS = 4000  # a leaf with more vectors or queries is cut into blocks of so many
 RERANK = 64  # candidates per query and leaf block that are compared exactly
 THRESHOLD = 0.2  # inner products from which errors matter: gives the weight of the parallel error
@@ -184,11 +185,16 @@ def _unit(v: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def probes_of(leaves: int) -> int:
+    """Leaves a query looks into where there are so many: a fixed number would lose more and more as they grow."""
+    return max(PROBES, ceil(sqrt(leaves)))
+
+
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1)
 
 
-def neighbours(vectors: DataFrame, k: int = 10, probes: int = PROBES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, probes: int | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(model, vec_row, neighbour, cosine): for every usable row the k rows of the same model and length with the greatest cosine.
 
     Fewer where the model has fewer other rows in the leaves looked into; ties by smaller vec_row. Rows repeated with
@@ -223,7 +229,7 @@ def neighbours(vectors: DataFrame, k: int = 10, probes: int = PROBES, leaf_rows:
         for f in frames:
             for space, g in f.groupby("space", sort=False):
                 q, x = fitted[space], _matrix(g["vec"])
-                near = q.leaves(x, probes)
+                near = q.leaves(x, probes or probes_of(len(q.centroids)))
                 codes = q.encode(x, near[:, 0])
                 packed = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = packed[:, 0::2] | (packed[:, 1::2] << 4)

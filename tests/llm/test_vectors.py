@@ -91,3 +91,15 @@ def test_a_third_of_the_rows_are_copies(spark):
     true = brute(x.astype(np.float64), 10)
     others = np.flatnonzero(~hot)
     assert len(got) == 3000 and np.mean([len(got[i] & true[i]) / 10 for i in others]) >= 0.9
+
+
+def test_probes_grow_with_the_leaves():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, true = sv.fit(x, 2100), brute(x, 10)
+    assert len(q.centroids) > 2000
+    own, near = q.leaves(x, 1)[:, 0], q.leaves(x[:400], sv.probes_of(len(q.centroids)))
+    recall = np.mean([np.isin(own[list(true[i])], near[i]).mean() for i in range(400)])
+    few = np.mean([np.isin(own[list(true[i])], near[i, : sv.PROBES]).mean() for i in range(400)])
+    assert recall >= 0.8 and recall > few + 0.1
