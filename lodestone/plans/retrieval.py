@@ -359,7 +359,7 @@ def sampling_shares(spark, d):
 @query("word2vec_similar")
 def word2vec_similar(spark, d):
     """Trained on the documents' tokens"""
-    model = dense.train_word2vec(_docs(spark, d).select(T.tokens(F.col("text")).alias("tokens")), dim=16, epochs=1)
+    model = dense.train_word2vec(_docs(spark, d).select(T.tokens(F.col("text")).alias("tokens")))
     vectors = model.getVectors().select(F.col("word").alias("term"), F.col("vector"))
     from pyspark.ml.functions import vector_to_array
 

@@ -214,3 +214,19 @@ def test_engine(spark, index):
     qrels = spark.createDataFrame([(0, "a", 1), (5, "a", 1)], "qid int, doc_id string, rel int")
     rows, agg = e.evaluate(qs, qrels)
     assert agg.first().num_queries == 1
+
+
+def test_word2vec_similar_trains_the_full_model(spark, monkeypatch):
+    from lodestone.operators import dense
+    from lodestone.plans import retrieval
+
+    sizes, train = [], dense.train_word2vec
+
+    def seen(*a, **k):
+        model = train(*a, **k)
+        sizes.append((model.getVectorSize(), model.getMaxIter()))
+        return model
+
+    monkeypatch.setattr(dense, "train_word2vec", seen)
+    got = retrieval.word2vec_similar(spark, "/root/testdata/sf0.001").groupBy("term").count().collect()
+    assert sizes == [(100, 3)] and got and all(r["count"] == 5 for r in got)
