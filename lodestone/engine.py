@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import stemmed_tokens, tokens
 from lodestone.operators import dense, hybrid, lexical, metrics
 from lodestone.operators import refine as refinement
 from lodestone.operators.index import Index
@@ -30,14 +30,17 @@ class Engine:
     dictionary: DataFrame | None = None
     synonyms: DataFrame | None = None
     stemmer: Callable[[DataFrame], DataFrame] | None = None
+    analyse: Callable[[Column], Column] = tokens
 
     def models(self) -> list[str]:
         """A2: single models, and both hybrids as soon as there are two of them."""
         return [*LEXICAL, *self.vectors, *HYBRIDS]
 
     def context(self, queries: DataFrame, k1: float | None = None, b: float | None = None) -> DataFrame:
-        """A4: queries with tokens and parameters."""
-        rows = queries.select("qid", "text", tokens(F.col("text")).alias("tokens"))
+        """A4: queries with tokens, analysed and stemmed as the index is, and parameters."""
+        rows = queries.select("qid", "text", self.analyse(F.col("text")).alias("tokens"))
+        if self.stemmer:
+            rows = stemmed_tokens(rows, self.stemmer)
         return rows.withColumn("k1", F.lit(k1).cast("double")).withColumn("b", F.lit(b).cast("double"))
 
     def refine(self, queries: DataFrame, history: DataFrame | None = None, spell: bool = True, expand: bool = True, use_history: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,14 @@ def stemmed(rows: DataFrame, col: str = "term") -> DataFrame:
     return rows.join(words, F.col(col) == F.col("__w"), "left").withColumn(col, F.col("__s")).drop("__w", "__s")
 
 
+def stemmed_tokens(rows: DataFrame, stemmer: Callable[[DataFrame], DataFrame] = stemmed) -> DataFrame:
+    """Stems the column ``tokens`` in place, in order; ``stemmer`` maps a column ``term``. Equal arrays are stemmed once."""
+    each = stemmer(rows.select("tokens").distinct().select("tokens", F.posexplode("tokens").alias("__i", "term")))
+    lists = each.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("__i", "term"))).alias("__s"))
+    stems = F.coalesce(F.transform("__s", lambda x: x["term"]), F.col("tokens"))
+    return rows.join(lists, "tokens", "left").withColumn("tokens", stems).select(rows.columns)
+
+
 def lemmatised(rows: DataFrame, lemmas: DataFrame, col: str = "term", pos: str = "pos") -> DataFrame:
     """The lemma of (form, pos) from a table (form, pos, lemma) unique per (form, pos); a form that isn't in it stays.
     Tags: J, N, V and R in front give a, n, v and r; any other is a noun."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import stemmed_tokens, tokens
 from lodestone.operators.index import exists
 from lodestone.sources.tables import known_time
 
@@ -59,12 +59,14 @@ def read_corpus(spark: SparkSession, path: str, format: str = "json", limit: int
     return df.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("raw_text", F.lit("")).alias("raw_text"))
 
 
-def preprocess(raw: DataFrame, id_col: str = "doc_id", text_fields: Sequence[str] = ("text",), keep_raw: bool = True, stop_words: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
-    """Corpus records from raw texts: the first field that isn't blank."""
+def preprocess(raw: DataFrame, id_col: str = "doc_id", text_fields: Sequence[str] = ("text",), keep_raw: bool = True, stop_words: tuple[str, ...] | None = None, limit: int | None = None,
+               stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Corpus records from raw texts: the first field that isn't blank. ``stemmer`` maps a column ``term``, as in Engine."""
     rows = raw.select(F.col(id_col).cast("string").alias("doc_id"), first_filled(raw, text_fields).alias("raw_text"))
     if limit:
         rows = rows.orderBy("doc_id").limit(limit)
     out = rows.select("doc_id", tokens(F.col("raw_text"), stop_words=stop_words).alias("tokens"), "raw_text")
+    out = stemmed_tokens(out, stemmer) if stemmer else out
     return out if keep_raw else out.drop("raw_text")
 
 

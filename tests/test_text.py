@@ -40,3 +40,17 @@ def test_bars(spark):
     rows = spark.createDataFrame([(5.0, 10.0), (0.0, 0.0), (-20.0, 10.0), (0.01, 10.0)], "s double, m double")
     assert [r[0] for r in rows.select(T.score_bar(F.col("s"), F.col("m"))).collect()] == [50.0, 2.0, 100.0, 2.0]
     assert [r[0] for r in rows.select(F.round(T.percent_change(F.col("m"), F.col("s")), 6)).collect()] == [-50.0, 0.0, -300.0, -99.9]
+
+
+def test_search_in_an_index_of_stems(spark):
+    from lodestone.engine import Engine
+    from lodestone.operators.index import build_index
+    from lodestone.sources.corpus import preprocess
+
+    raw = spark.createDataFrame([("a", "Running dogs"), ("b", "a leaf falls"), ("b2", "")], "doc_id string, text string")
+    docs = preprocess(raw, stop_words=("a",), stemmer=T.stemmed)
+    assert {r.doc_id: r.tokens for r in docs.collect()} == {"a": ["run", "dog"], "b": ["leaf", "fall"], "b2": []}
+    engine = Engine(build_index(docs, F.col("tokens")), stemmer=T.stemmed, analyse=lambda t: T.tokens(t, stop_words=("a",)))
+    queries = spark.createDataFrame([(1, "a runs falling"), (2, "a")], "qid long, text string")
+    assert {r.qid: r.tokens for r in engine.context(queries).collect()} == {1: ["run", "fall"], 2: []}
+    assert sorted((r.qid, r.doc_id) for r in engine.search(queries, "bm25").collect()) == [(1, "a"), (1, "b")]
