@@ -1,4 +1,4 @@
-"""Command line: python -m lodestone.cli build | search | evaluate | status.
+"""Command line: python -m lodestone.cli build | search | evaluate | status (S12, S13, I14; of I15 the lexical index, of E11 no refinement).
 
 Reads and writes paths of any file system Spark knows; queries and judgements are Parquet tables like the supplied ones.
 """
