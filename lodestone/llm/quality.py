@@ -1,4 +1,9 @@
-"""Problem 10: text statistics per document, and boosted trees that tell natural prose from lists, tables and junk."""
+"""Problem 10: text statistics per document, and boosted trees that tell natural prose from lists, tables and junk.
+
+The trees learn from weak labels that owe nothing to the five signs or their limits: texts whose form is that of a table, list,
+menu, code, encoded data or spam are junk, texts of sentences are prose, and each prose sample also comes in spoilt versions
+(cut short, made a list, sprinkled with symbols, with letters mixed, words glued or taken apart), which are junk too.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +12,17 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.holdout import HOLDOUT
+from lodestone.llm.holdout import HELD, HOLDOUT
+from lodestone.session import spread
 from lodestone.sources.tables import table
 
 FEATURES = ("n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share")
 TRAIN_ROWS = 20_000  # bound of the sample that the trees are fitted on
 MAX_COMMON_WORDS = 100_000  # bound of the word list that reaches every task
-CANDIDATE = 0.02  # probability of junk from which a document is looked at
-# The signs of text that isn't natural prose (fixed values).
-CUTS = {"n_words": [20], "mean_word_length": [3.0, 8.0], "symbol_ratio": [0.12], "line_end_share": [0.5], "common_share": [0.2]}
+MARGIN = 0.04  # share of the least probability of a junk text of the holdout from which a document is looked at
 _BLANKS = " \t\n\r"
 
 
@@ -56,26 +60,26 @@ def stats_of(text: str, common: set[str]) -> tuple:
 
 
 def signs(x) -> np.ndarray:
-    """How many of the five signs each row of FEATURES shows: the weak label is two or more."""
+    """How many of the five signs (fixed values) each row of FEATURES shows; two or more make a case."""
     n, length, symbol, line, common = np.asarray(x, float).reshape(-1, 5).T
     return (n < 20).astype(int) + ((length < 3) | (length > 8)) + (symbol > 0.12) + (line < 0.5) + (common < 0.2)
 
 
 class BoostedTrees:
-    """Gradient-boosted trees for two classes: Newton steps on the logistic loss, splits at given cut points and quantiles,
-    and probabilities calibrated on a holdout (Platt's sigmoid)."""
+    """Gradient-boosted trees for two classes: Newton steps on the logistic loss, splits at quantiles of the sample, and
+    probabilities calibrated on a holdout (Platt's sigmoid)."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0):
-        self.rounds, self.depth, self.rate, self.ridge = rounds, depth, rate, ridge
-        self.trees: list[list[tuple[int, float, bool, float]]] = []
-        self.base, self.scale, self.shift = 0.0, 1.0, 0.0
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, splits: int = 32):
+        self.rounds, self.depth, self.rate, self.ridge, self.splits = rounds, depth, rate, ridge, splits
+        self.trees: list[list[tuple[tuple[int, float] | None, float]]] = []
+        self.base, self.scale, self.shift, self.gate = 0.0, 1.0, 0.0, 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, cuts: list[list[float]]) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         p = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         self.base = float(np.log(p / (1 - p)))
-        # A split sends x < cut left, and also x <= cut where the cut says so: both sides of a given cut can be told apart.
-        splits = [sorted({(float(c), e) for c in cut for e in (False, True)} | {(float(q), False) for q in np.quantile(x[:, j], np.linspace(0.05, 0.95, 19))} if len(x) else []) for j, cut in enumerate(cuts)]
-        masks = [np.array([x[:, j] <= c if e else x[:, j] < c for c, e in s]).reshape(len(s), len(x)) for j, s in enumerate(splits)]
+        splits = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.splits + 1)[1:])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
+        masks = [x[:, j] < s[:, None] for j, s in enumerate(splits)]
+        masks = [m.astype(np.float32) for m in masks]
         f = np.full(len(x), self.base)
         for _ in range(self.rounds if len(x) else 0):
             p = 1 / (1 + np.exp(-f))
@@ -83,20 +87,20 @@ class BoostedTrees:
             nodes, leaf = [None] * (2 ** (self.depth + 1)), np.ones(len(x), int)
             for node in range(1, 2**self.depth):
                 at = leaf == node
-                g, h = grad * at, hess * at
-                total_g, total_h = g.sum(), h.sum()
+                both = np.stack([grad * at, hess * at], 1).astype(np.float32)
+                total_g, total_h = both.sum(0)
                 best = (1e-9, 0, 0)
                 for j, m in enumerate(masks):
-                    gl, hl = m @ g, m @ h
+                    gl, hl = (m @ both).T
                     gain = gl**2 / (hl + self.ridge) + (total_g - gl) ** 2 / (total_h - hl + self.ridge) - total_g**2 / (total_h + self.ridge)
-                    k = int(gain.argmax()) if len(gain) else 0
-                    if len(gain) and gain[k] > best[0]:
+                    k = int(gain.argmax())
+                    if gain[k] > best[0]:
                         best = (float(gain[k]), j, k)
                 if best[0] <= 1e-9:
                     continue
                 _, j, k = best
-                nodes[node] = (j, *splits[j][k])
-                leaf = np.where(at, np.where(masks[j][k], 2 * node, 2 * node + 1), leaf)
+                nodes[node] = (j, float(splits[j][k]))
+                leaf = np.where(at, np.where(masks[j][k] > 0, 2 * node, 2 * node + 1), leaf)
             sums_g, sums_h = np.bincount(leaf, grad, 2 ** (self.depth + 1)), np.bincount(leaf, hess, 2 ** (self.depth + 1))
             values = self.rate * sums_g / (sums_h + self.ridge)
             self.trees.append([(n, float(v)) for n, v in zip(nodes, values)])
@@ -109,9 +113,8 @@ class BoostedTrees:
             leaf = np.ones(len(x), int)
             for node, (split, _) in enumerate(tree):
                 if split is not None:
-                    j, cut, with_equal = split
-                    left = x[:, j] <= cut if with_equal else x[:, j] < cut
-                    leaf = np.where(leaf == node, np.where(left, 2 * node, 2 * node + 1), leaf)
+                    j, cut = split
+                    leaf = np.where(leaf == node, np.where(x[:, j] < cut, 2 * node, 2 * node + 1), leaf)
             f += np.array([v for _, v in tree])[leaf]
         return f
 
@@ -149,29 +152,82 @@ def common_words(words: DataFrame) -> list[str]:
     return sorted(got)
 
 
+def with_form(docs: DataFrame) -> DataFrame:
+    """Adds ``label`` to rows with a ``text``, the weak label by its form: 1 for tables, lists, menus, code, encoded data, symbols and
+    spam, 0 for sentences, null where the form doesn't tell. Sentences repeat some word: a text in which none comes twice
+    isn't taken for prose."""
+    t = F.col("text")
+    staged = docs.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(_BLANKS)) != "")).withColumn("__words", F.array_remove(F.split(t, "[ \t\n\r]+"), ""))
+    how_many = lambda test: F.size(F.filter("__lines", test))
+    counted = staged.withColumn("__n", F.size("__words")).withColumn("__distinct", F.size(F.array_distinct("__words"))).withColumn("__most", F.size("__lines") * 0.6)
+    cells = how_many(lambda x: x.rlike("[|;\t].*[|;\t]"))
+    entries = how_many(lambda x: x.rlike(r"^\s*(?:[-*+•]|\d+[.)]|\w+:)") & (F.size(F.split(x, " ")) < 7))
+    marks, long = F.length(t) - F.length(F.translate(t, ">·|»", "")), F.size(F.filter("__words", lambda w: F.length(w) >= 60))
+    n, distinct = F.col("__n"), F.col("__distinct")
+    junk = ((cells > F.col("__most")) | (entries > F.col("__most")) | (how_many(lambda x: x.rlike("[{}<>=]")) > F.col("__most")) | (marks * 3 > n) | (long * 4 > n)
+            | (F.length(F.regexp_replace(t, r"\P{L}+", "")) * 2 < F.length(t)) | (distinct * 3 < n))
+    labelled = counted.withColumn("__junk", junk).withColumn("__ends", F.regexp_count(t, F.lit(r"\p{L}[.!?…][\"')\]”]*(?:\s|$)")))
+    ends = F.col("__ends")
+    prose = (distinct < n) & (ends >= 1) & (n <= 60 * ends) & (n >= 8 * ends)
+    return labelled.select(*docs.columns, F.when(F.col("__junk"), 1).when(prose, 0).alias("label"))
+
+
+def spoilt(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """FEATURES of prose as they would be after one to three kinds of damage, from slight to total."""
+    out, n = x.copy(), len(x)
+    down, up = (lambda most: rng.uniform(0, most, n)), (lambda a, b: rng.uniform(a, b, n))
+    damage = [
+        {0: np.floor(out[:, 0] * down(0.2))},  # cut short
+        {3: out[:, 3] * down(0.7)},  # lines without an end
+        {2: out[:, 2] + up(0.04, 0.8)},  # symbols
+        {4: out[:, 4] * down(0.7)},  # letters mixed, other words
+        {1: out[:, 1] * up(1.4, 5), 4: out[:, 4] * down(0.7)},  # words glued
+        {1: out[:, 1] * up(0.15, 0.75), 4: out[:, 4] * down(0.9)},  # words taken apart
+    ]
+    kinds = rng.random((n, len(damage))).argsort(1)[:, :3]
+    many = rng.integers(1, 4, n)
+    for k, columns in enumerate(damage):
+        hit = ((kinds == k) & (np.arange(3) < many[:, None])).any(1)
+        for j, values in columns.items():
+            out[hit, j] = values[hit]
+    return out
+
+
+def train_on(x: np.ndarray, label: np.ndarray, common: set[str], seed: int = 5) -> BoostedTrees:
+    """Trees fitted on weakly labelled statistics and spoilt prose, calibrated on the holdout, with a gate: the probability from
+    which a document is looked at, MARGIN of the least one of a junk text of the holdout, so that none of those is lost."""
+    prose = x[label == 0]
+    bad = np.concatenate([x[label == 1], spoilt(prose, np.random.default_rng(seed))])
+    model = BoostedTrees().fit(np.concatenate([prose, bad]), np.repeat([0.0, 1.0], [len(prose), len(bad)]))
+    held = np.array([stats_of(t, common) for t, _ in HOLDOUT] + [h[:5] for h in HELD], float)
+    y = np.array([j for _, j in HOLDOUT] + [h[5] for h in HELD], float)
+    model.calibrate(held, y)
+    model.gate = MARGIN * float(model.probability(held)[y == 1].min())
+    return model
+
+
 def train(docs: DataFrame, common: list[str], rows: int = TRAIN_ROWS) -> BoostedTrees:
-    """Trees fitted on at most about ``rows`` documents, chosen by a hash of doc_id and text, with weak labels: two or more
-    signs are junk. Calibrated on the hand-checked texts of holdout.py."""
+    """``train_on`` about ``rows`` documents at most, chosen by a hash of doc_id and text (repeated ones count once), with the
+    weak label of their form."""
     share = min(1.0, rows / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = text_stats(some, common).select(*FEATURES).limit(2 * rows).toPandas().to_numpy(float)
-    model = BoostedTrees().fit(sample, (signs(sample) >= 2).astype(float), [CUTS[f] for f in FEATURES])
-    held = np.array([stats_of(t, set(common)) for t, _ in HOLDOUT], float)
-    return model.calibrate(held, np.array([j for _, j in HOLDOUT], float))
+    some = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["h"])
+    sample = text_stats(with_form(some.select("text")), common).where("label is not null").select(*FEATURES, "label").toPandas().to_numpy(float)
+    return train_on(sample[:, :5], sample[:, 5], set(common))
 
 
-def quality(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, FEATURES, junk_probability) of every text that isn't null."""
+def quality(docs: DataFrame, words: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
+    """(doc_id, FEATURES, junk_probability, looked_at) of every text that isn't null; looked_at tells whether the trees hold it
+    for possible junk (``model.gate``). An empty or blank text has zeros and is looked at."""
     common = common_words(words)
-    rows = docs.select("doc_id", "text")
-    model = train(rows, common)
+    rows = spread(docs.select("doc_id", "text"))
+    model = model or train(rows, common)
 
     @F.pandas_udf("double")
     def junk(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
         return pd.Series(model.probability(np.column_stack([a, b, c, d, e]).astype(float)))
 
     stats = text_stats(rows, common).select("doc_id", *FEATURES)
-    return stats.withColumn("junk_probability", junk(*FEATURES))
+    return stats.withColumn("junk_probability", junk(*FEATURES)).withColumn("looked_at", (F.col("junk_probability") >= model.gate) | (F.col("n_words") == 0))
 
 
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -182,12 +238,12 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_quality(spark: SparkSession, d: str) -> DataFrame:
     """The statistics and the calibrated probability of junk of every document."""
-    return quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality(table(spark, d, "documents"), table(spark, d, "common_words")).drop("looked_at")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that aren't natural prose: what the trees hold for possible junk, checked exactly by the signs."""
-    got = quality(table(spark, d, "documents"), table(spark, d, "common_words")).where((F.col("junk_probability") >= CANDIDATE) | (F.col("n_words") == 0))
+    got = quality(table(spark, d, "documents"), table(spark, d, "common_words")).where("looked_at")
     shown = [F.col("n_words") < 20, (F.col("mean_word_length") < 3.0) | (F.col("mean_word_length") > 8.0), F.col("symbol_ratio") > 0.12, F.col("line_end_share") < 0.5, F.col("common_share") < 0.2]
     total = shown[0].cast("int")
     for s in shown[1:]:

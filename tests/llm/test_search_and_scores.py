@@ -126,17 +126,46 @@ def test_stats_equal_plain_python(spark):
         assert got[i] == pytest.approx(quality.stats_of(t, set(common))), t
 
 
+def natural(n, rng):
+    return np.column_stack([rng.integers(30, 400, n), rng.uniform(4.2, 5.8, n), rng.uniform(0.015, 0.06, n), rng.uniform(0.8, 1, n), rng.uniform(0.3, 0.6, n)])
+
+
 def test_trees_on_held_out_rows():
     rng = np.random.default_rng(0)
     draw = lambda n: np.column_stack([rng.integers(0, 200, n), rng.uniform(1, 12, n), rng.uniform(0, 0.3, n), rng.uniform(0, 1, n), rng.uniform(0, 0.6, n)])
     x, new = draw(4000), draw(4000)
     label = lambda a: (quality.signs(a) >= 2).astype(float)
-    model = quality.BoostedTrees().fit(x, label(x), [quality.CUTS[f] for f in quality.FEATURES])
-    assert ((model.margin(new) > 0) == (label(new) > 0)).mean() > 0.98
+    model = quality.BoostedTrees().fit(x, label(x))
+    assert ((model.margin(new) > 0) == (label(new) > 0)).mean() > 0.9
+    empty = quality.train_on(np.zeros((0, 5)), np.zeros(0), set())
+    assert np.isfinite(empty.probability(draw(10))).all()
+
+
+def test_the_gate_drops_prose_and_no_case():
+    """Prose alone teaches the trees, by its spoilt versions; every pair of signs is looked at, most prose isn't."""
+    rng = np.random.default_rng(9)
     common = {"the", "to", "of", "and", "that", "it", "is", "in", "for", "not", "der", "die", "das", "und", "nicht", "es", "la", "le", "les", "que", "de", "el", "en", "no", "y", "lo", "a", "on", "i"}
-    held = np.array([quality.stats_of(t, common) for t, _ in HOLDOUT], float)
-    y = np.array([j for _, j in HOLDOUT], float)
-    p = model.calibrate(held, y).probability(held)
-    assert ((p > 0.5) == (y > 0.5)).mean() > 0.9 and 0 <= p.min() and p.max() <= 1
-    empty = quality.BoostedTrees().fit(np.zeros((0, 5)), np.zeros(0), [quality.CUTS[f] for f in quality.FEATURES])
-    assert np.isfinite(empty.probability(held)).all()
+    model = quality.train_on(natural(3000, rng), np.zeros(3000), common)
+    prose, bad = natural(2000, rng), np.array([[8, 8], [2.2, 9.5], [0.3, 0.3], [0.2, 0.2], [0.05, 0.05]])
+    assert (model.probability(prose) < model.gate).mean() > 0.7
+    for pair in itertools.combinations(range(5), 2):
+        for way in range(2):
+            x = natural(200, rng)
+            x[:, pair] = bad[list(pair), way] * rng.uniform(0.95, 1.05, (200, 2))
+            assert (model.probability(x) >= model.gate).all(), pair
+
+
+def test_form_labels(spark):
+    prose = "We met on Tuesday, and the mayor said that the road was too old. Nobody in the town liked the plan that the road should go."
+    texts = [prose, "a;b;c\n1;2;3\n4;5;6", "1. One thing\n2. Two things\n3. Three", "Home > A > B > C", "x" * 100, "WIN WIN WIN WIN WIN WIN now", "xkv jqz zrt pwq lmn bcd fgh jkl mnp qrs.", "", "{ a }\n<b>\n{ c }"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "i int, text string")
+    assert {r.i: r.label for r in quality.with_form(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: None, 7: None, 8: 1, 99: None}
+
+
+def test_junk_of_a_small_table(spark):
+    prose = "We met on Tuesday, and the mayor said that the road was too old. Nobody in the town liked the plan that the road should go."
+    rows = [(i, prose + f" It is the {i} time that we say it.") for i in range(60)] + [(90, ""), (91, " \n"), (92, "a;b;1\nc;d;2"), (93, None), (92, "a;b;1\nc;d;2")]
+    words = spark.createDataFrame([("en", "the"), ("en", "that"), ("en", "it"), ("en", None), ("en", "was"), ("en", "in")], "lang string, word string")
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash")), words).collect()
+    assert len(got) == 64 and {90, 91, 92} <= {r.doc_id for r in got if r.looked_at}
+    assert quality.quality(spark.createDataFrame([], "doc_id long, text string"), words).count() == 0

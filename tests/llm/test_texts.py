@@ -133,26 +133,3 @@ def test_classes_of_copies(spark):
     members, texts = nd.current_classes(df)
     assert sorted(map(tuple, members.collect())) == [(1, 1), (2, 1)]
     assert [r.id for r in texts.collect()] == [1]
-
-
-def test_no_document_with_two_signs_falls_below_the_gate():
-    """Whatever pair of signs the sample lacks."""
-    from itertools import combinations
-
-    import numpy as np
-
-    from lodestone.llm import quality as q
-    from lodestone.llm.holdout import HOLDOUT
-
-    rng = np.random.default_rng(9)
-    good, bad = np.array([120, 4.8, 0.03, 0.9, 0.45]), np.array([[8, 8], [2.2, 9.5], [0.3, 0.3], [0.2, 0.2], [0.05, 0.05]])
-    common = set("the of and to a in that it is was he for on with as his they at be this from have or by".split())
-    held = np.array([q.stats_of(t, common) for t, _ in HOLDOUT], float)
-    show = lambda at: np.array([bad[j, rng.integers(2)] if j in at else good[j] for j in range(5)])
-    pairs = list(combinations(range(5), 2))
-    for lacking in pairs:
-        kinds = [(), *[(j,) for j in range(5)], *[p for p in pairs if p != lacking]]
-        sample = np.array([show(()) if rng.random() < 0.8 else show(kinds[rng.integers(len(kinds))]) for _ in range(2000)]) * rng.uniform(0.98, 1.02, (2000, 5))
-        model = q.BoostedTrees().fit(sample, (q.signs(sample) >= 2).astype(float), [q.CUTS[f] for f in q.FEATURES])
-        model.calibrate(held, np.array([j for _, j in HOLDOUT], float))
-        assert model.probability(np.array([show(p) for p in pairs for _ in range(4)])).min() >= q.CANDIDATE
