@@ -30,12 +30,44 @@ def test_recall_against_brute_force(spark):
     assert np.mean([len(got[i] & true[i]) / 10 for i in range(3000)]) >= 0.9
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def test_regions_and_blocks_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    df = frame(spark, rng.normal(size=(300, 8)))
-    one = sorted(map(tuple, sv.neighbours(df, 5, probes=2, leaf_rows=100).select("vec_row", "neighbour").collect()))
-    monkeypatch.setattr(sv, "BLOCK_ROWS", 20)
-    assert one == sorted(map(tuple, sv.neighbours(df, 5, probes=2, leaf_rows=100).select("vec_row", "neighbour").collect()))
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    one = sorted(map(tuple, sv.neighbours(frame(spark, x), 5, probes=2, leaf_rows=30).select("vec_row", "neighbour").collect()))
+    monkeypatch.setattr(sv, "REGION_ROWS", 40)
+    assert one == sorted(map(tuple, sv.neighbours(frame(spark, x), 5, probes=2, leaf_rows=30).select("vec_row", "neighbour").collect()))
+    q = sv.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = q.leaves(u, 1)[:, 0]
+    o = np.argsort(own, kind="stable")
+    asked = [sv.search_region(q, np.arange(300), q.leaves(u[o], 2), x[o], own[o], q.encode(u[o], own[o]), o, 5)]
+    monkeypatch.setattr(sv, "QUERY_BLOCK", 7), monkeypatch.setattr(sv, "ROW_BITS", 6), monkeypatch.setattr(sv, "ROW_BLOCK", 64)
+    asked.append(sv.search_region(q, np.arange(300), q.leaves(u[o], 2), x[o], own[o], q.encode(u[o], own[o]), o, 5))
+    assert (asked[0][0] == asked[1][0]).mean() > 0.99 and (asked[0][0] >= 0).all()
+
+
+def test_integer_tables_add_up():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 17)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = sv.fit(x, 6)
+    own = q.leaves(x, 1)[:, 0]
+    codes = q.encode(x, own)
+    assert (sv.unpacked(sv.packed(codes), codes.shape[1]) == codes).all()
+    tables, scale = q.integer_tables(x[:50])
+    total = tables[np.arange(codes.shape[1])[None], codes].astype(np.int64).sum(1)  # (rows, queries)
+    assert np.abs(total).max() < 32_000
+    exact = x[:50] @ q.decode(codes)[:, :17].T
+    assert np.abs(total.T / scale[:, None] - exact).max() < 1e-3
+
+
+def test_regions_hold_even_rows():
+    rng = np.random.default_rng(8)
+    c, sizes = rng.normal(size=(90, 6)), rng.integers(1, 60, 90)
+    for many in (1, 2, 3, 7):
+        r = sv.regions_of(c, sizes, many)
+        rows = np.bincount(r, sizes)
+        assert len(rows) == many and rows.max() < 1.5 * rows.mean() + 60
 
 
 def test_dirty_rows(spark):
@@ -102,4 +134,5 @@ def test_probes_grow_with_the_leaves():
     own, near = q.leaves(x, 1)[:, 0], q.leaves(x[:400], sv.probes_of(len(q.centroids)))
     recall = np.mean([np.isin(own[list(true[i])], near[i]).mean() for i in range(400)])
     few = np.mean([np.isin(own[list(true[i])], near[i, : sv.PROBES]).mean() for i in range(400)])
+    assert near.shape[1] == sv.probes_of(len(q.centroids)) > 90
     assert recall >= 0.8 and recall > few + 0.1
