@@ -76,15 +76,16 @@ def snippet(text: Column, limit: int | None = 600) -> Column:
     safe = cut
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "<br>")):
         safe = F.replace(safe, F.lit(a), F.lit(b))
-    return F.when((text.isNull()) | (text == ""), F.lit("<em>(no stored text)</em>")).otherwise(safe)
+    return F.when((text.isNull()) | (text == ""), F.lit("<em>(this document has no text)</em>")).otherwise(safe)
 
 
 def highlighted(safe: Column, terms: Column) -> Column:
-    """Whole words of the array ``terms`` (two letters or more, longest first) marked, whatever their case."""
+    """Whole words of the array ``terms`` (two letters or more, longest first) marked in an escaped text, whatever their case.
+    All are looked for at once, so no mark falls inside a mark, and entities and tags of the escaping are left alone."""
     usable = F.array_distinct(F.filter(terms, lambda w: F.length(w) >= 2))
-    by_length = F.transform(F.array_sort(F.transform(usable, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
-    mark = lambda s, w: F.regexp_replace(s, F.concat(F.lit(r"(?i)\b(\Q"), w, F.lit(r"\E)\b")), F.lit("<mark>$1</mark>"))
-    return F.aggregate(by_length, safe, mark)
+    by_length = F.transform(F.array_sort(F.transform(usable, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: F.concat(F.lit(r"\Q"), x["w"], F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?i)(?<![&<])(?<!&#)\b("), F.array_join(by_length, "|"), F.lit(r")\b"))
+    return F.when(F.size(usable) > 0, F.regexp_replace(safe, pattern, F.lit("<mark>$1</mark>"))).otherwise(safe)
 
 
 def highlight_terms(query: Column, expansions: Column, corrections: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 @dataclass
 class Index:
     """postings (term, doc_id, tf), terms (term, df, idf), docs (doc_id, length, tfidf_norm), meta (num_docs, avgdl, total_terms)
-    in one row, and texts (doc_id, raw_text), which scoring never reads."""
+    in one row, and texts (doc_id, raw_text), which scoring never reads. Postings that are stored also hold length and tfidf_norm
+    of their document, so that scoring joins no further table."""
 
     postings: DataFrame
     terms: DataFrame
@@ -22,12 +23,16 @@ class Index:
 
     PARTS = ("postings", "terms", "docs", "meta", "texts")
 
+    def full(self) -> DataFrame:
+        """postings with length and tfidf_norm of their document."""
+        return self.postings if "length" in self.postings.columns else self.postings.join(self.docs, "doc_id")
+
     def save(self, path: str) -> None:
-        """Parquet, postings sorted by term inside each file so that a term filter skips row groups."""
+        """Parquet, postings with length and tfidf_norm, sorted by term inside each file so that a term filter skips row groups."""
         for p in self.PARTS:
             if (df := getattr(self, p)) is not None:
                 if p == "postings":
-                    df = df.repartition("term").sortWithinPartitions("term", "doc_id")
+                    df = self.full().select("term", "doc_id", "tf", "length", "tfidf_norm").repartition("term").sortWithinPartitions("term", "doc_id")
                 df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{p}")
 
     @classmethod
@@ -48,9 +53,10 @@ def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", text_co
 
     Null terms are dropped, a null array is an empty one; documents without terms count in N and have length 0 and norm 0.
     Ids must be unique and not null (see ``check_unique``). An empty corpus has N 0 and avgdl 0. ``keep`` (table, name), such as
-    ``session.materialize``, writes each stage once, so that texts are tokenized once however many parts are used.
+    ``session.materialize``, writes each stage once, so that texts are tokenized once however many parts are used; the postings
+    then hold length and tfidf_norm of their document.
     """
-    keep = keep or (lambda df, name: df)
+    stored, keep = keep is not None, keep or (lambda df, name: df)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.coalesce(tokens, F.array().cast("array<string>"))).alias("tokens"))
     rows = keep(rows, "tokens")
     postings = keep(rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")), "postings")
@@ -65,6 +71,8 @@ def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", text_co
     meta = counts.select(
         "num_docs", F.when(F.col("num_docs") > 0, F.coalesce(F.col("total"), F.lit(0)) / F.col("num_docs")).otherwise(0.0).alias("avgdl"), n_terms.scalar().alias("total_terms"))
     meta = keep(meta, "meta")
+    if stored:
+        postings = keep(postings.join(doc_rows, "doc_id").select("term", "doc_id", "tf", "length", "tfidf_norm"), "scored")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw_text")) if text_col else None
     return Index(postings, terms, doc_rows, meta, texts)
 
@@ -83,7 +91,7 @@ def lookup(index: Index, terms: DataFrame) -> DataFrame:
 
 def postings_of(index: Index, terms: DataFrame) -> DataFrame:
     """I8: (term, doc_id, tf, length, tfidf_norm) of the postings of the given terms."""
-    return index.postings.join(terms.select("term").distinct(), "term", "left_semi").join(index.docs, "doc_id").select("term", "doc_id", "tf", "length", "tfidf_norm")
+    return index.full().join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf", "length", "tfidf_norm")
 
 
 def docs_by_id(index: Index, ids: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 Queries are rows (qid, tokens array<string>) with optional k1, b, exp_terms array<string> and exp_weight. A run is
 (qid, doc_id, score, rank): score rounded to 6 decimals, rank by score downwards and then doc_id.
+
+Postings hold what scoring needs of their document. Those of the batch's terms are brought together by document once, and
+the batch's query terms meet them there as a broadcast table, so that the many partial scores are added up where they arise
+and only the first k per query and task move on. A batch too large to broadcast is joined by term instead, with the terms
+that very many documents hold salted.
 """
 
 from __future__ import annotations
@@ -10,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.index import Index
+from lodestone.operators.skew import heavy_counts, skew_join
+from lodestone.session import materialize
 
 K1, B = 1.5, 0.75
+BROADCAST_ROWS = 500_000  # query terms, or terms of candidates, that are broadcast at most: some 50 MB
 
 
 def _optional(queries: DataFrame, name: str, default) -> Column:
@@ -40,9 +48,18 @@ def tfidf_weights(index: Index, queries: DataFrame) -> DataFrame:
     return known.select("qid", "term", "idf", ((1 + F.log(F.col("qtf").cast("double"))) * F.col("idf") * F.col("mult")).alias("weight"))
 
 
-def _postings(index: Index, candidates: DataFrame | None, terms: DataFrame) -> DataFrame:
-    matched = terms.join(index.postings, "term")
-    return matched if candidates is None else matched.join(candidates.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+def _matched(index: Index, terms: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    """Rows of ``terms`` (qid, term, ...) with the postings of their term; with candidates (qid, doc_id) only theirs."""
+    terms = materialize(terms, "asked")
+    if candidates is not None:  # candidates first: as many rows as they have terms, not as the terms have postings
+        pairs = materialize(candidates.select("qid", "doc_id").distinct().join(terms, "qid"), "pairs")
+        few = pairs.count() <= BROADCAST_ROWS
+        return index.full().join(F.broadcast(pairs) if few else pairs, ["doc_id", "term"])
+    if (n := terms.count()) <= BROADCAST_ROWS:
+        asked = index.full().join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        return asked.repartition("doc_id").join(F.broadcast(terms), "term")
+    heavy = heavy_counts(index.terms, "term", "df", max(n, index.terms.agg(F.sum("df")).first()[0] or 0))
+    return skew_join(index.full(), terms, "term", "inner", heavy, ["doc_id"])
 
 
 def tfidf_scores(index: Index, queries: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
@@ -51,19 +68,19 @@ def tfidf_scores(index: Index, queries: DataFrame, candidates: DataFrame | None
     w = tfidf_weights(index, queries)
     norms = w.groupBy("qid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("qnorm"))
     part = F.col("weight") * (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    dots = _postings(index, candidates, w).groupBy("qid", "doc_id").agg(F.sum(part).alias("dot"))
-    both = dots.join(norms, "qid").join(index.docs.select("doc_id", "tfidf_norm"), "doc_id")
-    return both.select("qid", "doc_id", F.when(F.col("tfidf_norm") * F.col("qnorm") > 0, F.col("dot") / (F.col("tfidf_norm") * F.col("qnorm"))).otherwise(0.0).alias("score"))
+    sums = _matched(index, w.join(norms, "qid"), candidates).groupBy("qid", "doc_id").agg(F.sum(part).alias("dot"), F.max(F.col("tfidf_norm") * F.col("qnorm")).alias("norm"))
+    return sums.select("qid", "doc_id", F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0).alias("score"))
 
 
 def bm25_scores(index: Index, queries: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score) over distinct query terms; k1 and b per query, null for the default, 0 honoured."""
     n, avgdl = index.meta.select("num_docs").scalar(), index.meta.select(F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))).scalar()
     terms = query_terms(queries).join(index.terms.select("term", "df"), "term")
-    terms = terms.select("qid", "term", "k1", "b", avgdl.alias("avgdl"), (F.col("mult") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
-    rows = _postings(index, candidates, terms).join(index.docs.select("doc_id", "length"), "doc_id")
-    denom = F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("length") / F.col("avgdl"))
-    return rows.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("tf") * (F.col("k1") + 1) / denom).alias("score"))
+    k1, b = F.col("k1"), F.col("b")
+    weight = F.col("mult") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1)
+    terms = terms.select("qid", "term", weight.alias("w"), (k1 * (1 - b)).alias("flat"), (k1 * b / avgdl).alias("slope"))
+    rows = _matched(index, terms, candidates)
+    return rows.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("tf") / (F.col("tf") + F.col("flat") + F.col("slope") * F.col("length"))).alias("score"))
 
 
 SCORERS = {"tfidf": tfidf_scores, "bm25": bm25_scores}

@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens, words
+from lodestone.functions.text import stemmed_tokens, tokens, words
 from lodestone.operators.index import Index
 
 
-def edits(word: str) -> set[str]:
-    """All strings one deletion, swap of neighbours, replacement or insertion of a-z away (and the word itself)."""
-    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
-    out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-    return out | {a + c + b[1:] for a, b in cuts if b for c in ascii_lowercase} | {a + c + b for a, b in cuts for c in ascii_lowercase}
-
-
 SHORT = 24  # letters up to which a word is matched by what deletions leave; longer ones by unchanged segments
 _SEGMENTS = 5  # two edits touch at most four of them
 
@@ -71,20 +63,16 @@ def within(a: str, b: str, most: int) -> bool:
     return any(within(x, y, most - 1) for x, y in tries)
 
 
-def corrections(asked: DataFrame, dictionary: DataFrame, df_of: DataFrame, stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(word, best) for words (column word) that have a correction.
+def candidates(asked: DataFrame, dictionary: DataFrame, df_of: DataFrame, stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(word, cand, d): dictionary words one or two edits (d) away from each word (column word) that isn't in the dictionary, has
+    more than three letters and a stem of df 0.
 
-    Not corrected: words in the dictionary, of three letters or fewer, or whose stem has df > 0. Candidates are dictionary
-    words one edit away, else two; the one with the greatest df of its stem wins (ties: first by letters), if that is > 0.
     Words are matched by what both leave after up to two deletions, long ones by segments that two edits can't all touch, so
     no list of all strings two edits away is made.
-    df_of is (term, df); stemmer maps the column term, by default not at all.
     """
-    stem_of = stemmer or (lambda d: d)
-    with_df = lambda d, c: stem_of(d.withColumn("term", F.col(c))).join(df_of.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).drop("term")
     dictionary = dictionary.select(F.lower("word").alias("cand")).where("cand rlike '^[a-z]+$'").distinct()
     open_ = asked.select(F.lower("word").alias("word")).distinct().where("length(word) > 3").join(dictionary, F.col("word") == F.col("cand"), "left_anti")
-    open_ = with_df(open_, "word").where("df = 0").select("word")
+    open_ = _with_df(open_, "word", df_of, stemmer).where("df = 0").select("word")
 
     @F.pandas_udf("array<string>")
     def left_keys(s: pd.Series) -> pd.Series:
@@ -101,10 +89,26 @@ def corrections(asked: DataFrame, dictionary: DataFrame, df_of: DataFrame, stemm
     left = open_.select("word", F.explode(left_keys("word")).alias("part"))
     right = dictionary.select("cand", F.explode(right_keys("cand")).alias("part"))
     pairs = left.join(right, "part").where(F.abs(F.length("word") - F.length("cand")) <= 2).select("word", "cand").distinct()
-    pairs = pairs.withColumn("d", distance("word", "cand")).where("d <= 2")
-    nearest = pairs.join(pairs.groupBy("word").agg(F.min("d").alias("m")), "word").where("d = m")
+    # most pairs differ by the JVM's own count of edits; a swap of neighbours counts two there, so two swaps count four
+    pairs = pairs.where(F.levenshtein("word", "cand", 4) >= 0)
+    return pairs.withColumn("d", distance("word", "cand")).where("d <= 2")
+
+
+def _with_df(d: DataFrame, c: str, df_of: DataFrame, stemmer: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    terms = d.withColumn("term", F.col(c))
+    return (stemmer(terms) if stemmer else terms).join(df_of.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).drop("term")
+
+
+def corrections(asked: DataFrame, dictionary: DataFrame, df_of: DataFrame, stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(word, best) for words (column word) that have a correction.
+
+    Of the ``candidates`` one edit away, else of those two away, the one with the greatest df of its stem wins (ties: first by
+    letters), if that is > 0. df_of is (term, df); stemmer maps the column term, by default not at all.
+    """
+    near = candidates(asked, dictionary, df_of, stemmer)
+    nearest = near.withColumn("m", F.min("d").over(Window.partitionBy("word"))).where("d = m")
     order = Window.partitionBy("word").orderBy(F.col("df").desc(), "cand")
-    return with_df(nearest, "cand").withColumn("i", F.row_number().over(order)).where("i = 1 and df > 0").select("word", F.col("cand").alias("best"))
+    return _with_df(nearest, "cand", df_of, stemmer).withColumn("i", F.row_number().over(order)).where("i = 1 and df > 0").select("word", F.col("cand").alias("best"))
 
 
 def correct_queries(queries: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -119,14 +123,21 @@ def correct_queries(queries: DataFrame, fixes: DataFrame) -> DataFrame:
     return queries.select("qid", "text").join(done, "qid", "left").select("qid", "text", F.coalesce("corrected", "text").alias("corrected"), F.coalesce("corrections", none).alias("corrections"))
 
 
-def expand(queries: DataFrame, synonyms: DataFrame, df_of: DataFrame, most_per_word: int = 1, stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _analysed(rows: DataFrame, text: str, stemmer: Callable[[DataFrame], DataFrame] | None, analyse: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``tokens``, made of the column ``text`` as the index's terms are."""
+    rows = rows.withColumn("tokens", analyse(F.col(text)))
+    return stemmed_tokens(rows, stemmer) if stemmer else rows
+
+
+def expand(queries: DataFrame, synonyms: DataFrame, df_of: DataFrame, most_per_word: int = 1, stemmer: Callable[[DataFrame], DataFrame] | None = None,
+           analyse: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, expansions array, stems array): synonyms of each word's first sense, in the order of the words.
 
     synonyms is (word, sense, pos, lemma). Skipped: several words, the word itself, stems of the query or of an expansion
     already taken, and stems with df 0. At most ``most_per_word`` for each word.
     """
     stem_of = stemmer or (lambda d: d)
-    base = queries.select("qid", tokens(F.col("text")).alias("toks"), words(F.lower("text")).alias("ws"))
+    base = queries.select("qid", analyse(F.col("text")).alias("toks"), words(F.lower("text")).alias("ws"))
     own = stem_of(base.select("qid", F.explode("toks").alias("term"))).groupBy("qid").agg(F.collect_set("term").alias("own"))
     first = synonyms.join(synonyms.groupBy("word").agg(F.min("sense").alias("sense")), ["word", "sense"])
     cands = base.select("qid", F.posexplode("ws").alias("at", "word")).join(first, "word").select("qid", "at", "word", F.col("pos").alias("no"), F.lower(F.replace("lemma", F.lit("_"), F.lit(" "))).alias("cand"))
@@ -143,23 +154,28 @@ def expand(queries: DataFrame, synonyms: DataFrame, df_of: DataFrame, most_per_w
     return taken.select("qid", F.col("t.cand").alias("expansions"), F.col("t.stem").alias("stems"))
 
 
-def history_terms(queries: DataFrame, history: DataFrame, df_of: DataFrame, most: int = 3) -> DataFrame:
+def history_terms(queries: DataFrame, history: DataFrame, df_of: DataFrame, most: int = 3, stemmer: Callable[[DataFrame], DataFrame] | None = None,
+                  analyse: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, pos, term): up to ``most`` new terms of past queries that share a token, the latest query first.
-    history is (qid, pos, query), pos rising with time."""
-    own = queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("own"))
-    past = history.select("qid", F.col("pos").alias("past"), tokens(F.col("query")).alias("toks")).join(own, "qid").where(F.arrays_overlap("own", "toks"))
+    history is (qid, pos, query), pos rising with time. Terms are made of texts as those of the index are."""
+    own = _analysed(queries.select("qid", "text"), "text", stemmer, analyse).select("qid", F.array_distinct("tokens").alias("own"))
+    past = _analysed(history.select("qid", F.col("pos").alias("past"), "query"), "query", stemmer, analyse).select("qid", "past", F.col("tokens").alias("toks"))
+    past = past.join(own, "qid").where(F.arrays_overlap("own", "toks"))
     rows = past.select("qid", "past", "own", F.posexplode("toks").alias("i", "term")).where("not array_contains(own, term)").join(df_of.where("df > 0").select("term"), "term", "left_semi")
     first = rows.groupBy("qid", "term").agg(F.min(F.struct((-F.col("past")).alias("p"), "i")).alias("f"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("f"))).where(F.col("pos") <= most).select("qid", "pos", "term")
 
 
-def suggest(queries: DataFrame, history: DataFrame, terms: DataFrame, limit: int = 5) -> DataFrame:
+def suggest(queries: DataFrame, history: DataFrame, terms: DataFrame, limit: int = 5, stemmer: Callable[[DataFrame], DataFrame] | None = None,
+            analyse: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, pos, suggestion): past queries that share a token, in their order, then the last word completed by terms
-    (term, df) with it as prefix, by df downwards; repeats dropped, the first ``limit``."""
-    base = queries.select("qid", "text", F.array_distinct(tokens(F.col("text"))).alias("own"), words(F.lower("text")).alias("ws"))
-    past = history.join(base, "qid").where(F.arrays_overlap("own", tokens(F.col("query"))) & (F.lower(F.trim("query")) != F.lower(F.trim("text"))))
+    (term, df) with it (its stem, with a stemmer) as prefix, by df downwards; repeats dropped, the first ``limit``."""
+    base = _analysed(queries.select("qid", "text"), "text", stemmer, analyse).select("qid", "text", F.array_distinct("tokens").alias("own"), words(F.lower("text")).alias("ws"))
+    past = _analysed(history.select("qid", "pos", "query"), "query", stemmer, analyse).join(base, "qid")
+    past = past.where(F.arrays_overlap("own", "tokens") & (F.lower(F.trim("query")) != F.lower(F.trim("text"))))
     past = past.select("qid", F.lit(0).alias("kind"), F.col("pos").cast("long").alias("at"), F.col("query").alias("suggestion"))
-    last = base.where("size(ws) > 0").select("qid", "text", "ws", F.element_at("ws", -1).alias("prefix"))
+    last = base.where("size(ws) > 0").select("qid", "text", "ws", F.element_at("ws", -1).alias("term"))
+    last = (stemmer(last) if stemmer else last).select("qid", "text", "ws", F.col("term").alias("prefix"))
     prefixes = last.select("prefix").distinct()
     # terms meet prefixes by equality: each term once per length up to the longest prefix asked for
     longest = F.coalesce(prefixes.agg(F.max(F.length("prefix"))).scalar(), F.lit(0))
@@ -173,7 +189,7 @@ def suggest(queries: DataFrame, history: DataFrame, terms: DataFrame, limit: int
 
 
 def refine(queries: DataFrame, index: Index, dictionary: DataFrame, synonyms: DataFrame, history: DataFrame | None = None, spell: bool = True, use_synonyms: bool = True,
-           use_history: bool = True, stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           use_history: bool = True, stemmer: Callable[[DataFrame], DataFrame] | None = None, analyse: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, text, corrected, tokens, exp_terms, hist_terms). Dense models get ``corrected``; lexical ones get tokens: the
     corrected query's, then the expansion stems, then history terms."""
     asked = queries.select(F.explode(words(F.col("text"))).alias("word"))
@@ -185,17 +201,14 @@ def refine(queries: DataFrame, index: Index, dictionary: DataFrame, synonyms: Da
     now = fixed.select("qid", F.col("corrected").alias("text"))
     out = fixed
     if use_synonyms:
-        out = out.join(expand(now, synonyms, index.terms, stemmer=stemmer).select("qid", F.col("stems").alias("exp_terms")), "qid", "left")
+        out = out.join(expand(now, synonyms, index.terms, stemmer=stemmer, analyse=analyse).select("qid", F.col("stems").alias("exp_terms")), "qid", "left")
     else:
         out = out.withColumn("exp_terms", empty)
     if use_history and history is not None:
-        got = history_terms(now, history, index.terms).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("hist_terms"))
+        got = history_terms(now, history, index.terms, stemmer=stemmer, analyse=analyse).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("hist_terms"))
         out = out.join(got, "qid", "left")
     else:
         out = out.withColumn("hist_terms", empty)
-    own = tokens(F.col("corrected"))
-    if stemmer:
-        one = stemmer(fixed.select("qid", F.posexplode(own).alias("i", "term"))).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]).alias("own"))
-        out, own = out.join(one, "qid", "left"), F.coalesce("own", empty)
-    return out.select("qid", "text", "corrected", F.concat(own, F.coalesce("exp_terms", empty), F.coalesce("hist_terms", empty)).alias("tokens"),
+    out = _analysed(out, "corrected", stemmer, analyse).withColumnRenamed("tokens", "own")
+    return out.select("qid", "text", "corrected", F.concat("own", F.coalesce("exp_terms", empty), F.coalesce("hist_terms", empty)).alias("tokens"),
                       F.coalesce("exp_terms", empty).alias("exp_terms"), F.coalesce("hist_terms", empty).alias("hist_terms"))

@@ -33,7 +33,9 @@ def test_snippet_and_marks(spark):
     rows = spark.createDataFrame([("a <b> School & schools\nx", ["school", "a", "b"]), ("z" * 700, ["z"]), (None, ["q"])], "t string, w array<string>")
     got = [r[0] for r in rows.select(T.highlighted(T.snippet(F.col("t")), F.col("w"))).collect()]
     assert got[0] == "a &lt;b&gt; <mark>School</mark> &amp; schools<br>x"
-    assert got[1] == "z" * 600 + "…" and got[2] == "<em>(no stored text)</em>"
+    marks = spark.createDataFrame([("a mark & amp <b>'s br", ["mark", "amp", "br", "x27", "a mark"])], "t string, w array<string>")
+    assert marks.select(T.highlighted(T.snippet(F.col("t")), F.col("w"))).first()[0] == "<mark>a mark</mark> &amp; <mark>amp</mark> &lt;b&gt;&#x27;s <mark>br</mark>"
+    assert got[1] == "z" * 600 + "…" and got[2] == "<em>(this document has no text)</em>"
 
 
 def test_bars(spark):
