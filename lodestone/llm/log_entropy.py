@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import SHARE, skew_join
+from lodestone.operators.skew import heavy_counts, skew_join
 from lodestone.session import materialize
 from lodestone.sources.tables import CLEAN_SQL, clean_postings, doc_count, table
 
@@ -25,15 +25,16 @@ def term_spread(clean: DataFrame, n_docs: int) -> DataFrame:
     return sums.select("term", "df", "gf", weight.alias("global_weight"))
 
 
-def log_entropy(clean: DataFrame, n_docs: int, share: float = SHARE) -> DataFrame:
+def log_entropy(clean: DataFrame, n_docs: int, share: float | None = None) -> DataFrame:
     """(term, doc_rowid, tf, df, weight) of clean postings: weight = (1 + ln tf) * global weight.
 
-    Frequent terms (at least ``share`` of the rows) are salted in the join. Rows must be unique per (term, doc_rowid)
+    Frequent terms (more rows than a slice of a task's share, or at least ``share`` of all) are salted in the join, in as many parts as
+    they have slices. Rows must be unique per (term, doc_rowid)
     with tf >= 1, as clean_postings leaves them; an empty input gives no row.
     """
     spread = materialize(term_spread(clean, n_docs), "spread")
     rows = clean.count()
-    heavy = [r[0] for r in spread.where(F.col("df") >= share * rows).select("term").limit(int(1 / share) + 1).collect()]
+    heavy = heavy_counts(spread, "term", "df", rows, share)
     joined = skew_join(clean, spread, "term", "inner", heavy, ["doc_rowid"])
     return joined.select("term", "doc_rowid", "tf", "df", ((1 + F.log(F.col("tf").cast("double"))) * F.col("global_weight")).alias("weight"))
 
