@@ -19,7 +19,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from lodestone.session import materialize
 
 SLICES = 4  # of a task's fair share; so at most SLICES * tasks keys are heavy
-SHARE = 0.01
 SALTS = 16  # for keys given without a number of their own
 SALT = "__salt"
 
