@@ -26,14 +26,30 @@ _WORD_START = re.compile(r"(?<=[ \t\r\n])[^ \t\r\n]")
 _BLANKS = " \t\r\n"
 
 
+_HEADING_ONLY = re.compile(r"[ \t\r\n]*(?:#{1,6}[ \t][^\n]*(?:\n[ \t\r\n]*|$))+")
+
+
 def _children(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
+    """Spans of the children of text[a:b]; a child that is nothing but headings is one with the child after it."""
     cuts = [m.end() for m in _LEVELS[level].finditer(text, a, b)]
     edges = [a, *(c for c in cuts if a < c < b), b]
+    if text.find("#", a, b) >= 0:
+        kept = [a]
+        for c in edges[1:-1]:
+            if not _only_heading(text, kept[-1], c):
+                kept.append(c)
+        edges = [*kept, b]
     return list(zip(edges, edges[1:]))
 
 
+def _only_heading(text: str, a: int, b: int) -> bool:
+    m = _HEADING_ONLY.match(text, a, b)
+    return m is not None and m.end() == b
+
+
 def _pack(text: str, a: int, b: int, level: int, limit: int, room: int) -> list[tuple[int, int]]:
-    """Spans of text[a:b]: the node itself if it is small enough, else its children packed, neighbours merged to ``room``.
+    """Spans of text[a:b]: the node itself if it is small enough, else its children packed: neighbours that are whole are merged up
+    to ``room``; one that is too large is opened and packed by itself, and its parts are never merged with what is outside it.
 
     ``room`` leaves space for the overlap; an unbroken stretch may fill the whole ``limit``.
     """
@@ -43,13 +59,20 @@ def _pack(text: str, a: int, b: int, level: int, limit: int, room: int) -> list[
         if text[a] in _BLANKS:
             return [(i, min(i + room, b)) for i in range(a, b, room)]
         return [(a, b)] if b - a <= limit else [(i, min(i + room, b)) for i in range(a, b, room)]
+    children = _children(text, a, b, level)
+    if len(children) == 1:
+        return _pack(text, a, b, level + 1, limit, room)
     out: list[tuple[int, int]] = []
-    for x, y in _children(text, a, b, level):
-        for p, q in _pack(text, x, y, level + 1, limit, room):
-            if out and q - out[-1][0] <= room:
-                out[-1] = out[-1][0], q
-            else:
-                out.append((p, q))
+    merging = False
+    for x, y in children:
+        if y - x > room:
+            out += _pack(text, x, y, level + 1, limit, room)
+            merging = False
+        elif merging and y - out[-1][0] <= room:
+            out[-1] = out[-1][0], y
+        else:
+            out.append((x, y))
+            merging = True
     return out
 
 
@@ -83,8 +106,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
 def split_long(docs: DataFrame, id_col: str = "doc_rowid", text_col: str = "raw_text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(id, piece, start, overlap, hard, text): the ordered pieces of every text longer than ``limit`` characters.
 
-    The text is a tree of headings, paragraphs, list items, lines, sentences and words; small siblings are merged,
-    and only nodes over the limit are opened. Dropping each piece's overlap and joining gives the text back. Stretches
+    The text is a tree of headings, paragraphs, list items, lines, sentences and words; whole siblings are merged up to the
+    limit, only nodes over it are opened, and no piece holds a part of an opened node with anything outside it. A heading stays
+    with what follows it. Dropping each piece's overlap and joining gives the text back. Stretches
     without blanks over the limit are cut hard. Null, empty and shorter texts give no row; repeated rows are split each.
     """
     if not 0 <= overlap < limit:
@@ -115,10 +139,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return per_doc.select("doc_rowid", F.when(F.col("hard"), "hard").otherwise("soft").alias("cut"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+def p3_joined(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces give back: per split doc the length and md5 of the pieces joined without their overlaps, the longest piece and
+    the longest overlap."""
+    pieces = split_long(_long_docs(spark, d))
+    parts = F.array_sort(F.collect_list(F.struct("piece", F.expr("substring(text, overlap + 1)").alias("own"))))
+    whole = pieces.groupBy("doc_rowid").agg(F.array_join(F.transform(parts, lambda x: x["own"]), "").alias("whole"), F.max(F.length("text")).alias("longest"), F.max("overlap").alias("most"))
+    return whole.select("doc_rowid", F.length("whole").alias("length"), F.md5("whole").alias("digest"), (F.col("longest") <= LIMIT).alias("fits"), (F.col("most") <= OVERLAP).alias("short_overlap"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_joined": p3_joined}
 SQL = {
     "p3_found": rf"""WITH cur AS (
   SELECT * FROM docs WHERE doc_rowid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_rowid ORDER BY ingested_at DESC NULLS LAST) = 1)
 SELECT doc_rowid, CASE WHEN list_max(list_transform(string_split_regex(raw_text, '[ \t\n\r]'), lambda x: length(x))) > {LIMIT} THEN 'hard' ELSE 'soft' END AS cut
 FROM cur WHERE length(raw_text) > {LIMIT}""",
+    "p3_joined": f"""SELECT doc_rowid, length(raw_text)::INTEGER AS length, md5(raw_text) AS digest, true AS fits, true AS short_overlap FROM (
+  SELECT * FROM docs WHERE doc_rowid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_rowid ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE length(raw_text) > {LIMIT}""",
 }

@@ -37,6 +37,39 @@ def test_natural_boundaries():
     assert not any(h for *_, h in sp.split_text("y" * 1500 + " " + "z" * 1400))
 
 
+def _sections(n, lines=6):
+    return "".join(f"# Heading {i}\n\n" + " ".join(f"Sentence {i} {j} has some words." for j in range(lines)) + "\n\n" for i in range(n))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 3, 9, 14, 30]), min_size=1, max_size=12), st.integers(120, 500))
+def test_no_piece_mixes_an_opened_node_with_others(sections, limit):
+    text = "".join(f"# H{i}\n\n" + " ".join(f"Sentence {i} {j} has some words." for j in range(n)) + "\n\n" for i, n in enumerate(sections))
+    room, at, nodes = limit - 10, 0, []
+    for i, n in enumerate(sections):
+        size = len(f"# H{i}\n\n" + " ".join(f"Sentence {i} {j} has some words." for j in range(n)) + "\n\n")
+        nodes.append((at, at + size, size > room))
+        at += size
+    spans = sp._pack(text, 0, len(text), 0, limit, room)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
+    if len(text) > room:
+        for a, b in spans:
+            for x, y, opened in nodes:
+                if opened and a < y and x < b:
+                    assert x <= a and b <= y, (a, b, x, y)
+
+
+def test_a_heading_stays_with_its_body():
+    text = _sections(3, 40)
+    pieces = sp.split_text(text, 400, 40)
+    assert joined(text, pieces) == text
+    for a, b, o, _ in pieces:
+        own = text[a + o : b]
+        assert "# Heading" not in own or own.startswith("# Heading") and "Sentence" in own
+    small = "# One\n\nA b c.\n\n# Two\n\nD e f.\n\n# Three\n\n" + "G h i. " * 30
+    assert [small[a + o : b][:5] for a, b, o, _ in sp.split_text(small, 100, 10)][:2] == ["# One", "# Thr"]
+
+
 def test_split_long(spark):
     rows = [(1, "a " * 1000), (2, "short"), (3, ""), (4, None), (5, "q" * 5000), (1, "a " * 1000), (6, " " * 4000), (7, "w " * 100_000)]
     df = spark.createDataFrame(rows, "doc_rowid long, raw_text string").withColumn("piece", F.lit("clash")).withColumn("text", F.lit(None).cast("string"))
