@@ -1,8 +1,10 @@
-"""Text functions (T1-T17) as column expressions; only stemming and edit generation need Python."""
+"""Text functions (T1-T17) as column expressions; only stemming needs Python."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,6 +57,68 @@ def stemmed_tokens(rows: DataFrame, stemmer: Callable[[DataFrame], DataFrame] =
     return rows.join(lists, "tokens", "left").withColumn("tokens", stems).select(rows.columns)
 
 
+@dataclass(frozen=True)
+class Analyser:
+    """How texts become terms, kept with an index so that its queries are treated alike: lower case, punctuation deleted, split,
+    words of letters only, stop words, stems, in that order."""
+
+    lowercase: bool = True
+    remove_punctuation: bool = True
+    stop_words: tuple[str, ...] = ()
+    stem: bool = False
+
+    def tokens(self, text: Column) -> Column:
+        return tokens(text, self.lowercase, self.remove_punctuation, self.stop_words or None)
+
+    @property
+    def stemmer(self) -> Callable[[DataFrame], DataFrame] | None:
+        return stemmed if self.stem else None
+
+    def add(self, rows: DataFrame, text: str) -> DataFrame:
+        """Rows with a column ``tokens`` made of the column ``text``."""
+        rows = rows.withColumn("tokens", self.tokens(F.col(text)))
+        return stemmed_tokens(rows) if self.stem else rows
+
+    def dumps(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def loads(cls, text: str | None) -> Analyser:
+        got = json.loads(text) if text else {}
+        return cls(**{**got, "stop_words": tuple(got.get("stop_words", ()))})
+
+
+STANDARD = Analyser(stop_words=STOP_WORDS, stem=True)  # the usual treatment of documents and queries
+
+
+def preprocessed(rows: DataFrame, text: str, lexicon: DataFrame | None = None, common: DataFrame | None = None, analyser: Analyser = Analyser(stop_words=STOP_WORDS)) -> DataFrame:
+    """T9, T10 (with ``STANDARD``): rows with lang, tokens and pos_tags.
+
+    lang is the language of ``common`` (lang, word) of which most words of the text are common words (ties: the first by name), null
+    where none is; ``lexicon`` (form, pos) gives the tag of each token before stemming, by default NN. Without these tables lang and
+    pos_tags are null. No text gives no tokens.
+    """
+    bare = Analyser(analyser.lowercase, analyser.remove_punctuation, analyser.stop_words)
+    rows = bare.add(rows.withColumn("__id", F.xxhash64(text)), text).withColumn("__words", tokens(F.col(text)))
+    each = rows.select("__id", "__words", F.col("tokens").alias("__t")).dropDuplicates(["__id"])
+    if common is None:
+        rows = rows.withColumn("lang", F.lit(None).cast("string"))
+    else:
+        known = common.where("lang is not null and word is not null").select(F.lower("lang").alias("lang"), F.lower("word").alias("w")).distinct()
+        hits = each.select("__id", F.explode("__words").alias("w")).join(known, "w").groupBy("__id", "lang").agg(F.count(F.lit(1)).alias("n"))
+        best = hits.groupBy("__id").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("b")).select("__id", F.col("b.lang").alias("lang"))
+        rows = rows.join(best, "__id", "left")
+    if lexicon is None:
+        rows = rows.withColumn("pos_tags", F.lit(None).cast("array<string>"))
+    else:
+        one = lexicon.groupBy(F.col("form").alias("w")).agg(F.min("pos").alias("pos"))
+        tagged = each.select("__id", F.posexplode("__t").alias("i", "w")).join(one, "w", "left").withColumn("pos", F.coalesce("pos", F.lit("NN")))
+        tags = tagged.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "pos"))), lambda x: x["pos"]).alias("pos_tags"))
+        rows = rows.join(tags, "__id", "left").withColumn("pos_tags", F.coalesce("pos_tags", F.array().cast("array<string>")))
+    rows = rows.drop("__id", "__words")
+    return stemmed_tokens(rows) if analyser.stem else rows
+
+
 def lemmatised(rows: DataFrame, lemmas: DataFrame, col: str = "term", pos: str = "pos") -> DataFrame:
     """The lemma of (form, pos) from a table (form, pos, lemma) unique per (form, pos); a form that isn't in it stays.
     Tags: J, N, V and R in front give a, n, v and r; any other is a noun."""

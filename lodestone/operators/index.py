@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import Analyser
+
 
 @dataclass
 class Index:
@@ -20,6 +22,7 @@ class Index:
     docs: DataFrame
     meta: DataFrame
     texts: DataFrame | None = None
+    analyser: Analyser = Analyser()
 
     PARTS = ("postings", "terms", "docs", "meta", "texts")
 
@@ -33,13 +36,19 @@ class Index:
             if (df := getattr(self, p)) is not None:
                 if p == "postings":
                     df = self.full().select("term", "doc_id", "tf", "length", "tfidf_norm").repartition("term").sortWithinPartitions("term", "doc_id")
+                if p == "meta":
+                    df = df.withColumn("analyser", F.lit(self.analyser.dumps()))
                 df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{p}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         if not exists(spark, f"{path}/postings"):
             raise FileNotFoundError(f"no index at {path}: write one with build_index(...).save(path)")
-        return cls(*[spark.read.parquet(f"{path}/{p}") if exists(spark, f"{path}/{p}") else None for p in cls.PARTS])
+        out = cls(*[spark.read.parquet(f"{path}/{p}") if exists(spark, f"{path}/{p}") else None for p in cls.PARTS])
+        if "analyser" in out.meta.columns:
+            out.analyser = Analyser.loads(out.meta.select("analyser").first()[0])
+            out.meta = out.meta.drop("analyser")
+        return out
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -77,6 +86,14 @@ def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", text_co
     return Index(postings, terms, doc_rows, meta, texts)
 
 
+def index_texts(docs: DataFrame, text_col: str, analyser: Analyser = Analyser(), id_col: str = "doc_id", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
+    """The index of raw texts, treated by ``analyser``, which stays with it."""
+    rows = analyser.add(docs.select(id_col, F.col(text_col).alias("__text")), "__text")
+    out = build_index(rows, F.col("tokens"), id_col, "__text", keep)
+    out.analyser = analyser
+    return out
+
+
 def check_unique(docs: DataFrame, id_col: str = "doc_id") -> None:
     """Raises if an id is null or repeated."""
     bad = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).collect()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import stemmed_tokens, tokens
+from lodestone.functions.text import lemmatised, stemmed_tokens, tokens
 from lodestone.operators.index import exists
 from lodestone.sources.tables import known_time
 
@@ -44,7 +44,8 @@ class Catalogue:
 
 
 def read_corpus(spark: SparkSession, path: str, format: str = "json", limit: int | None = None) -> DataFrame:
-    """(doc_id, tokens, raw_text) with null tokens as [], null text as ''. JSON may be one array or one record a line.
+    """(doc_id, tokens, raw_text) with null tokens as [], null text as ''. JSON may be one array (format json: one task reads a
+    file of it) or one record a line (jsonl, in parallel).
     A missing doc_id becomes the row's running number, in file order. ``limit`` (None or 0: all) keeps the first by number."""
     reader = spark.read.schema(CORPUS_SCHEMA)
     df = reader.option("multiLine", True).json(path) if format == "json" else reader.json(path) if format == "jsonl" else reader.format(format).load(path)
@@ -60,16 +61,24 @@ def read_corpus(spark: SparkSession, path: str, format: str = "json", limit: int
 
 
 def preprocess(raw: DataFrame, id_col: str = "doc_id", text_fields: Sequence[str] = ("text",), keep_raw: bool = True, stop_words: tuple[str, ...] | None = None, limit: int | None = None,
-               stemmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Corpus records from raw texts: the first field that isn't blank. ``stemmer`` maps a column ``term``, as in Engine."""
+               stemmer: Callable[[DataFrame], DataFrame] | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+    """Corpus records from raw texts: the first field that isn't blank. ``stemmer`` maps a column ``term``, as in Engine;
+    ``lemmas`` (form, pos, lemma) are applied before it, each form as a noun."""
     rows = raw.select(F.col(id_col).cast("string").alias("doc_id"), first_filled(raw, text_fields).alias("raw_text"))
     if limit:
         rows = rows.orderBy("doc_id").limit(limit)
     out = rows.select("doc_id", tokens(F.col("raw_text"), stop_words=stop_words).alias("tokens"), "raw_text")
+    if lemmas is not None:
+        out = stemmed_tokens(out, lambda d: lemmatised(d.withColumn("pos", F.lit("NN")), lemmas).drop("pos"))
     out = stemmed_tokens(out, stemmer) if stemmer else out
     return out if keep_raw else out.drop("raw_text")
 
 
+def write_corpus(records: DataFrame, path: str, format: str = "json") -> None:
+    """Corpus records as JSON lines (read them as ``jsonl``) or Parquet."""
+    records.write.mode("overwrite").format(format).save(path)
+
+
 def first_filled(df: DataFrame, fields: Sequence[str]):
     """The first of the fields that df has and that isn't null or blank; else ''."""
     return F.coalesce(*[F.when(F.trim(F.col(f)) != "", F.col(f)) for f in fields if f in df.columns], F.lit(""))
