@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import dense, hybrid, lexical, metrics, refine
 from lodestone.operators.index import Index, build_index, docs_by_id, lookup, postings_of, vocabulary
+from lodestone.operators.skew import heavy_keys, ranked_within
 from lodestone.session import materialize, spread
 from lodestone.sources import corpus
 from lodestone.sources.tables import CURRENT_SQL, current_docs, known_time, table
 
 QUERIES, SQL = {}, {}
-_built: dict[tuple[str, str], Index] = {}
+_built: dict[tuple, Index] = {}
 SYNONYMS = [("school", 1, 1, "school"), ("school", 1, 2, "college"), ("school", 1, 3, "education"), ("school", 2, 1, "swarm"), ("teachers", 1, 1, "school_teacher"),
             ("teachers", 1, 2, "instructors"), ("teachers", 1, 3, "workers"), ("public", 1, 1, "national"), ("ban", 1, 1, "rule"), ("ban", 1, 2, "law"), ("reduce", 1, 1, "lower"),
             ("reduce", 1, 2, "cut"), ("arguments", 1, 1, "reason"), ("accept", 1, 1, "support"), ("online", 1, 1, "digital"), ("free", 1, 1, "open"), ("streets", 1, 1, "roads")]
@@ -39,9 +40,16 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: another stamp means other data."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 def _index(spark: SparkSession, d: str) -> Index:
-    """The index over documents, written once per session and folder (A3); later queries read it."""
-    key = spark.sparkContext.applicationId, d
+    """The index over documents, written once per session and state of the files (A3); later queries read it."""
+    key = spark.sparkContext.applicationId, d, _stamp(spark, f"{d}/documents.parquet")
     if key in _built:
         return _built[key]
     ix = build_index(_docs(spark, d), T.tokens(F.col("text")), text_col="text", keep=materialize)
@@ -49,10 +57,6 @@ def _index(spark: SparkSession, d: str) -> Index:
     return _built[key]
 
 
-def _postings_only(spark: SparkSession, d: str) -> Index:
-    return build_index(_docs(spark, d), T.tokens(F.col("text")), text_col="text")
-
-
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read_queries(table(spark, d, "queries"))
 
@@ -150,25 +154,25 @@ def readiness(spark, d):
 @query("index_postings", f"WITH {IX} SELECT term, doc_id, tf FROM pst")
 def index_postings(spark, d):
     """I1"""
-    return _postings_only(spark, d).postings
+    return _index(spark, d).postings.select("term", "doc_id", "tf")
 
 
 @query("index_docs", f"WITH {IX} SELECT doc_id, length, round(tfidf_norm, 6) AS tfidf_norm FROM nrm")
 def index_docs(spark, d):
     """I2, I5"""
-    return _postings_only(spark, d).docs.select("doc_id", "length", F.round("tfidf_norm", 6).alias("tfidf_norm"))
+    return _index(spark, d).docs.select("doc_id", "length", F.round("tfidf_norm", 6).alias("tfidf_norm"))
 
 
 @query("index_terms", f"WITH {IX} SELECT term, df, round(idf, 6) AS idf FROM terms WHERE df >= 2")
 def index_terms(spark, d):
     """I3, I4, I12"""
-    return _postings_only(spark, d).terms.where("df >= 2").select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.where("df >= 2").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("index_meta", f"WITH {IX} SELECT num_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS total_terms FROM meta")
 def index_meta(spark, d):
     """I6, I13, S12"""
-    return _postings_only(spark, d).meta.select("num_docs", F.round("avgdl", 6).alias("avgdl"), "total_terms")
+    return _index(spark, d).meta.select("num_docs", F.round("avgdl", 6).alias("avgdl"), "total_terms")
 
 
 @query("index_token_docs", f"""WITH {CURRENT_SQL}, p AS (SELECT doc_rowid AS doc_id, unnest(tokens) AS term FROM cur)
@@ -182,25 +186,25 @@ def index_token_docs(spark, d):
 @query("vocab_prefix", f"WITH {IX} SELECT term, df FROM terms WHERE starts_with(term, 'pr') ORDER BY df DESC, term LIMIT 20")
 def vocab_prefix(spark, d):
     """A top-k report"""
-    return vocabulary(_postings_only(spark, d), "pr").select("term", "df")
+    return vocabulary(_index(spark, d), "pr").select("term", "df")
 
 
 @query("term_lookup", f"WITH {IX} SELECT t.term, coalesce(df, 0) AS df, round(coalesce(idf, 0), 6) AS idf FROM (SELECT unnest({PROBE}) AS term) t LEFT JOIN terms USING (term)")
 def term_lookup(spark, d):
     """I7"""
-    return lookup(_postings_only(spark, d), spark.createDataFrame([(t,) for t in PROBE], "term string")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lookup(_index(spark, d), spark.createDataFrame([(t,) for t in PROBE], "term string")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings_lookup", f"WITH {IX} SELECT term, doc_id, tf, length, round(tfidf_norm, 6) AS tfidf_norm FROM pst JOIN nrm USING (doc_id) WHERE term IN ({', '.join(map(repr, PROBE))})")
 def postings_lookup(spark, d):
     """I8"""
-    return postings_of(_postings_only(spark, d), spark.createDataFrame([(t,) for t in PROBE], "term string")).withColumn("tfidf_norm", F.round("tfidf_norm", 6))
+    return postings_of(_index(spark, d), spark.createDataFrame([(t,) for t in PROBE], "term string")).withColumn("tfidf_norm", F.round("tfidf_norm", 6))
 
 
 @query("docs_by_id", "SELECT doc_id, coalesce(text, '') AS raw_text FROM documents WHERE doc_id IN (0, 3, 77, 500, -5)")
 def docs_by_ids(spark, d):
     """I9"""
-    return docs_by_id(_postings_only(spark, d), spark.createDataFrame([(i,) for i in (0, 3, 77, 500, -5)], "doc_id long"))
+    return docs_by_id(_index(spark, d), spark.createDataFrame([(i,) for i in (0, 3, 77, 500, -5)], "doc_id long"))
 
 
 @query("tfidf_weights", f"WITH {IX}, {QT}, {_TFIDF} SELECT qid, term, round(weight, 6) AS weight FROM w")
@@ -268,7 +272,20 @@ def search_with_text(spark, d):
     return lexical.with_text(ix, lexical.search(ix, _asked(spark, d))).select("qid", "doc_id", "rank", T.snippet(F.col("raw_text")).alias("snippet"))
 
 
-@query("highlights")
+# The escaping as single private characters, so that no word is found inside an entity or tag; put in after the marks.
+_BARE = "CASE WHEN length(text) > 600 THEN text[1:600] || '…' ELSE text END"
+_ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;"), ("\n", "<br>")]
+for _i, (_a, _b) in enumerate(_ENTITIES):
+    _BARE = f"replace({_BARE}, {'chr(10)' if _a == chr(10) else repr(_a) if _a != chr(39) * 2 else chr(39) * 4}, chr({0xE000 + _i}))"
+_MARKED = "CASE WHEN len(ws) > 0 THEN regexp_replace(bare, '(?i)\\b(' || array_to_string(ws, '|') || ')\\b', '<mark>\\1</mark>', 'g') ELSE bare END"
+for _i, (_a, _b) in enumerate(_ENTITIES):
+    _MARKED = f"replace({_MARKED}, chr({0xE000 + _i}), '{_b}')"
+
+
+@query("highlights", f"""WITH {IX}, {QT}, s AS ({_bm25_sql('qt')}), r AS ({_ranked('s')}),
+h AS (SELECT r.*, {_BARE} AS bare, list_sort(list_distinct(list_filter(regexp_extract_all(q.text, '[a-zA-Z]+'), lambda w: length(w) >= 2))) AS w0 FROM r JOIN documents USING (doc_id) JOIN (SELECT qid, text AS qtext FROM qs) q0 USING (qid) JOIN (SELECT qid, text FROM qs) q USING (qid)),
+l AS (SELECT *, list_transform(list_sort(list_transform(w0, lambda w: struct_pack(l := -length(w), w := w))), lambda x: x.w) AS ws FROM h)
+SELECT qid, doc_id, rank, {_MARKED} AS snippet FROM l""".replace("documents USING (doc_id)", "documents d USING (doc_id)").replace(_BARE, _BARE.replace("text", "d.text")))
 def highlights(spark, d):
     """Snippets with the query's words marked"""
     ix, asked = _index(spark, d), _asked(spark, d)
@@ -314,16 +331,23 @@ def dense_rescore(spark, d):
     return dense.rescore(v, asked, cands)
 
 
-@query("multilingual_topk")
+_USABLE = "vec is not null and size(vec) > 0 and size(vec) = dim and vec_row is not null and model is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)"
+
+
+@query("multilingual_topk", f"""WITH u AS (SELECT model, vec_row, max(vec)::DOUBLE[] AS v FROM vectors
+  WHERE vec IS NOT NULL AND len(vec) = dim AND len(vec) > 0 AND vec_row IS NOT NULL AND model IS NOT NULL
+    AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY model, vec_row),
+s AS (SELECT a.model, a.vec_row AS qid, b.vec_row AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND a.vec_row % 20 = 0 AND a.vec_row <> b.vec_row)
+SELECT model, qid, doc_id, score, row_number() OVER (PARTITION BY model, qid ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""")
 def multilingual_topk(spark, d):
-    """The same search over each store of vectors: rows with an id divisible by 20 against all of their model"""
+    """The same search over each store of vectors: rows with an id divisible by 20 against all of their model, for every model"""
+    rows = materialize(table(spark, d, "vectors").where(_USABLE).groupBy("model", F.col("vec_row").alias("doc_id")).agg(F.max("vec").alias("vec")), "stores")
     out = None
-    for model, dim in (("bert", 64), ("word2vec", 48)):
-        rows = table(spark, d, "vectors").where((F.col("model") == model) & (F.size("vec") == dim) & F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"))
-        rows = rows.dropDuplicates(["vec_row"]).select(F.col("vec_row").alias("doc_id"), "vec")
-        run = dense.exact_top_k(rows, rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec"), exclude_self=True).withColumn("model", F.lit(model))
+    for model in sorted(r[0] for r in rows.select("model").distinct().collect()):
+        store = rows.where(F.col("model") == model).select("doc_id", "vec")
+        run = dense.exact_top_k(store, store.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec"), exclude_self=True).select(F.lit(model).alias("model"), "*")
         out = run if out is None else out.unionByName(run)
-    return out
+    return out if out is not None else spark.createDataFrame([], "model string, qid long, doc_id long, score double, rank int")
 
 
 def _word_vector(term, dim: int = 8):
@@ -332,13 +356,13 @@ def _word_vector(term, dim: int = 8):
 
 @query("mean_pool", f"""WITH {IX}, wv AS (SELECT term, list_transform(range(0, 8), lambda i: (('0x' || md5(term)[1 + 2 * i:2 + 2 * i])::INTEGER - 127.5) / 127.5) AS v FROM terms),
 u AS (SELECT term, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM wv),
-e AS (SELECT doc_id, tf, v, unnest(range(0, 8)) AS i FROM pst JOIN u USING (term))
-SELECT doc_id, i::INTEGER AS i, round(sum(v[i + 1] * tf) / sum(tf), 6) AS value FROM e GROUP BY ALL""")
+e AS (SELECT doc_id, tf, v, unnest(range(0, 8)) AS i FROM pst JOIN u USING (term)), m AS (SELECT doc_id, i, sum(v[i + 1] * tf) / sum(tf) AS value FROM e GROUP BY ALL)
+SELECT doc_id, i::INTEGER AS i, round(coalesce(value, 0), 6) AS value FROM (SELECT doc_id, unnest(range(0, 8)) AS i FROM documents) LEFT JOIN m USING (doc_id, i)""")
 def mean_pool(spark, d):
-    """V2, V4 with word vectors made from md5"""
-    toks = _docs(spark, d).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    vectors = toks.select("term").distinct().select("term", _word_vector(F.col("term")).alias("vec"))
-    return dense.mean_vectors(toks, vectors).select("doc_id", "i", F.round("value", 6).alias("value"))
+    """V2 with word vectors made from md5; documents without words have zeros"""
+    toks = _docs(spark, d).select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("term"))
+    vectors = toks.where("term is not null").select("term").distinct().select("term", _word_vector(F.col("term")).alias("vec"))
+    return dense.mean_vectors(toks, vectors).select("doc_id", F.posexplode("vec").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("window_pairs", f"""WITH t AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, {_SPLIT.format(c='text')} AS toks FROM documents))
@@ -360,21 +384,17 @@ def sampling_shares(spark, d):
 def word2vec_similar(spark, d):
     """Trained on the documents' tokens"""
     model = dense.train_word2vec(_docs(spark, d).select(T.tokens(F.col("text")).alias("tokens")))
-    vectors = model.getVectors().select(F.col("word").alias("term"), F.col("vector"))
-    from pyspark.ml.functions import vector_to_array
-
-    return dense.most_similar(vectors.select("term", vector_to_array("vector", "float32").alias("vec")), spark.createDataFrame([(t,) for t in PROBE], "term string"), 5)
+    return dense.most_similar(dense.word_vectors(model), spark.createDataFrame([(t,) for t in PROBE], "term string"), 5)
 
 
 def _scored(spark, d) -> DataFrame:
     """The scored lists of search_results: the latest row of each pair, models in lower case, ranked by score."""
-    from pyspark.sql import Window
-
     rows = table(spark, d, "search_results").where("query_id is not null and doc_id is not null and components is not null")
     last = rows.groupBy(F.col("query_id").alias("qid"), "doc_id").agg(F.max(F.struct(known_time("run_at").alias("at"), F.array_sort(F.map_entries("components")).alias("e"))).alias("v"))
     long = last.select("qid", "doc_id", F.explode("v.e").alias("e")).select("qid", "doc_id", F.lower("e.key").alias("model"), F.col("e.value").alias("score"))
     long = long.where("score is not null and not isnan(score)").groupBy("qid", "model", "doc_id").agg(F.max("score").alias("score"))
-    return long.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "model").orderBy(F.col("score").desc(), "doc_id")))
+    heavy = heavy_keys(rows, "query_id")  # a query with many of the rows is ranked in ranges
+    return ranked_within(long, ["qid", "model"], [F.col("score").desc(), F.col("doc_id")], "rank", "qid", heavy, unique=True).withColumn("rank", F.col("rank").cast("int"))
 
 
 _SCORED = """latest AS (SELECT * FROM search_results WHERE query_id IS NOT NULL AND doc_id IS NOT NULL AND components IS NOT NULL
@@ -410,6 +430,24 @@ def fuse_rrf(spark, d):
     return _flat(hybrid.fuse_rrf(_scored(spark, d), _WEIGHTS), "bm25_rank")
 
 
+_LIKE = f"""{IX}, dq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+qt AS (SELECT t.doc_id AS qid, term, count(*) AS qtf FROM tok t JOIN dq ON dq.qid = t.doc_id GROUP BY ALL), s AS ({_bm25_sql('qt')}), rl AS ({_ranked('s', 100)}),
+ds AS (SELECT dq.qid, e.vec_id AS doc_id, round(list_cosine_similarity(dq.v, e.embedding::DOUBLE[]), 6) AS score FROM dq, embeddings e), rd AS ({_ranked('ds', 100)}),
+both_ AS (SELECT qid, 'bm25' AS model, doc_id, score FROM rl UNION ALL SELECT qid, 'dense', doc_id, score FROM rd),
+mm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS unit FROM both_ WINDOW w AS (PARTITION BY qid, model)),
+f AS (SELECT qid, doc_id, round(sum(CASE model WHEN 'bm25' THEN 0.6 ELSE 0.4 END * unit), 6) AS score FROM mm GROUP BY ALL)"""
+
+
+@query("fuse_dense", f"WITH {_LIKE} {_ranked('f')}")
+def fuse_dense(spark, d):
+    """H2: documents like a document, by BM25 and by vectors, which some documents lack; queries are the vectors with an id divisible by 20"""
+    ix, v = _index(spark, d), _embeddings(spark, d).select("doc_id", "vec")
+    asked = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec")
+    texts = _docs(spark, d).join(asked.select(F.col("qid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), T.tokens(F.col("text")).alias("tokens"))
+    lists = hybrid.union_runs({"bm25": lexical.search(ix, texts, k=100), "dense": dense.exact_top_k(v, asked, 100)})
+    return hybrid.fuse_weighted(lists, {"bm25": 0.6, "dense": 0.4}).drop("components")
+
+
 @query("serial_rerank", f"""WITH {_SCORED}, one AS (SELECT qid, doc_id, score AS s1, unit AS n1 FROM mm WHERE model = 'bm25'),
 two0 AS (SELECT qid, doc_id, score AS s2 FROM sc JOIN one USING (qid, doc_id) WHERE model = 'bert'),
 two AS (SELECT *, CASE WHEN max(s2) OVER w = min(s2) OVER w THEN 1 ELSE (s2 - min(s2) OVER w) / (max(s2) OVER w - min(s2) OVER w) END AS n2 FROM two0 WINDOW w AS (PARTITION BY qid)),
@@ -434,11 +472,10 @@ pq AS (SELECT qid, coalesce(top_hits, 0) / 10 AS p, coalesce(all_hits / relevant
 
 
 def _run(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, d, "search_results").where("query_id is not null and doc_id is not null and score is not null and not isnan(score)")
     last = rows.groupBy(F.col("query_id").alias("qid"), "doc_id").agg(F.max(F.struct(known_time("run_at").alias("at"), "score")).alias("v")).select("qid", "doc_id", F.col("v.score").alias("score"))
-    return last.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")))
+    heavy = heavy_keys(rows, "query_id")
+    return ranked_within(last, ["qid"], [F.col("score").desc(), F.col("doc_id")], "rank", "qid", heavy, unique=True).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("eval_per_query", f"WITH {_QRELS}, {_RUN}, {_EVAL.format(run='run')} SELECT qid, round(p, 6) AS p, round(recall, 6) AS recall, round(ap, 6) AS ap, round(ndcg, 6) AS ndcg FROM pq")
@@ -490,11 +527,21 @@ def _dictionary(ix: Index) -> DataFrame:
 _SPELL = f"""WITH {IX}, {Q}, dict AS (SELECT term AS word, df FROM terms WHERE df >= 5 AND regexp_full_match(term, '[a-z]+')),
 ask AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS w FROM qs)),
 open AS (SELECT word FROM ask WHERE length(word) > 3 AND word NOT IN (SELECT word FROM dict) AND word NOT IN (SELECT term FROM terms)),
-near AS (SELECT o.word, d.word AS cand, d.df, damerau_levenshtein(o.word, d.word) AS dist FROM open o JOIN dict d ON abs(length(o.word) - length(d.word)) <= 2)
-SELECT word, cand AS best FROM near WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, df DESC, cand) = 1"""
+near AS (SELECT o.word, d.word AS cand, d.df, damerau_levenshtein(o.word, d.word) AS dist FROM open o JOIN dict d ON abs(length(o.word) - length(d.word)) <= 2),
+fx AS (SELECT word, cand AS best FROM near WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, df DESC, cand) = 1)"""
+_CORRECTED = """fm AS (SELECT coalesce(map_from_entries(list((word, best))), MAP {'': ''}) AS m FROM fx),
+pt AS (SELECT qid, text, list_transform(regexp_extract_all(text, '[a-zA-Z]+|[^a-zA-Z]+'), lambda p: struct_pack(p := p, b := CASE WHEN m[lower(p)] <> lower(p) THEN m[lower(p)] END)) AS ps FROM qs, fm),
+cq AS (SELECT qid, text, array_to_string(list_transform(ps, lambda x: coalesce(x.b, x.p)), '') AS corrected, len(list_distinct(list_filter(ps, lambda x: x.b IS NOT NULL)))::INTEGER AS n FROM pt)"""
+
+
+@query("spell_candidates", f"{_SPELL} SELECT word, cand, dist::INTEGER AS d FROM near WHERE dist <= 2")
+def spell_candidates(spark, d):
+    """T13"""
+    ix = _index(spark, d)
+    return refine.candidates(_queries(spark, d).select(F.explode(T.words(F.col("text"))).alias("word")), _dictionary(ix), ix.terms)
 
 
-@query("spell_best", _SPELL)
+@query("spell_best", f"{_SPELL} SELECT * FROM fx")
 def spell_best(spark, d):
     """T13, R1"""
     ix = _index(spark, d)
@@ -502,7 +549,7 @@ def spell_best(spark, d):
     return refine.corrections(asked, _dictionary(ix), ix.terms)
 
 
-@query("spell_queries")
+@query("spell_queries", f"{_SPELL}, {_CORRECTED} SELECT qid, text, corrected, n FROM cq")
 def spell_queries(spark, d):
     """R2"""
     ix, qs = _index(spark, d), _queries(spark, d)
@@ -514,7 +561,18 @@ def _synonyms(spark) -> DataFrame:
     return spark.createDataFrame(SYNONYMS, "word string, sense int, pos int, lemma string")
 
 
-@query("synonym_expand")
+def _expand_sql(source: str) -> str:
+    """CTE ex (qid, e): the synonyms taken for the texts of ``source`` (qid, text)."""
+    rows = ", ".join(repr(r) for r in SYNONYMS)
+    return f"""syn AS (SELECT * FROM (VALUES {rows}) t(word, sense, pos, lemma) QUALIFY sense = min(sense) OVER (PARTITION BY word)),
+sw AS (SELECT qid, text, unnest(range(1, len(ws) + 1)) AS wno, ws FROM (SELECT qid, text, list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda x: lower(x)) AS ws FROM {source})),
+sc1 AS (SELECT qid, wno, pos AS no, replace(lower(lemma), '_', ' ') AS cand, word FROM sw JOIN syn ON syn.word = ws[wno]),
+sl AS (SELECT qid, list_sort(list(struct_pack(wno := wno, no := no, cand := cand))) AS c FROM sc1 WHERE NOT contains(cand, ' ') AND cand <> word AND cand IN (SELECT term FROM terms) GROUP BY qid),
+ex AS (SELECT qid, list_transform(list_reduce(c, lambda t, x: CASE WHEN list_contains(own, x.cand) OR len(list_filter(t, lambda y: y.cand = x.cand OR y.wno = x.wno)) > 0 THEN t ELSE list_append(t, x) END, list_slice(c, 1, 0)), lambda y: y.cand) AS e
+  FROM sl JOIN (SELECT qid, {_SPLIT.format(c='text')} AS own FROM {source}) USING (qid))"""
+
+
+@query("synonym_expand", f"WITH {IX}, {Q}, {_expand_sql('qs')} SELECT qid, array_to_string(e, ' ') AS expansions FROM ex")
 def synonym_expand(spark, d):
     """R3"""
     return refine.expand(_queries(spark, d), _synonyms(spark), _index(spark, d).terms).select("qid", F.array_join("expansions", " ").alias("expansions"))
@@ -525,11 +583,18 @@ def _history(spark, qs: DataFrame) -> DataFrame:
     return qs.select("qid", F.posexplode(F.array(*map(F.lit, HISTORY))).alias("pos", "query"))
 
 
-_HIST = f"""hist AS (SELECT (i - 1)::INTEGER AS pos, ({HISTORY})[i] AS query FROM range(1, {len(HISTORY) + 1}) t(i)),
-own AS (SELECT qid, text, {_SPLIT.format(c='text')} AS own FROM qs),
+def _hist_sql(source: str) -> str:
+    return f"""hist AS (SELECT (i - 1)::INTEGER AS pos, ({HISTORY})[i] AS query FROM range(1, {len(HISTORY) + 1}) t(i)),
+own AS (SELECT qid, text, {_SPLIT.format(c='text')} AS own FROM {source}),
 past AS (SELECT qid, text, own, pos, query, {_SPLIT.format(c='query')} AS toks FROM own, hist WHERE list_has_any(own, {_SPLIT.format(c='query')}))"""
 
 
+_HIST = _hist_sql("qs")
+_NEW_TERMS = """t AS (SELECT qid, own, pos, unnest(range(1, len(toks) + 1)) AS i, toks FROM past),
+n AS (SELECT qid, toks[i] AS term, min(-pos * 1000 + i) AS f FROM t WHERE NOT list_contains(own, toks[i]) AND toks[i] IN (SELECT term FROM terms) GROUP BY ALL),
+ht AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY f)::INTEGER AS pos, term FROM n QUALIFY pos <= 3)"""
+
+
 @query("suggest", f"""WITH {IX}, {Q}, {_HIST},
 lw AS (SELECT qid, text, list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda x: lower(x)) AS ws FROM qs),
 px AS (SELECT DISTINCT ws[-1] AS prefix FROM lw WHERE len(ws) > 0),
@@ -544,16 +609,17 @@ def suggest(spark, d):
     return refine.suggest(qs, _history(spark, qs), _index(spark, d).terms)
 
 
-@query("history_terms", f"""WITH {IX}, {Q}, {_HIST}, t AS (SELECT qid, own, pos, unnest(range(1, len(toks) + 1)) AS i, toks FROM past),
-n AS (SELECT qid, toks[i] AS term, min(-pos * 1000 + i) AS f FROM t WHERE NOT list_contains(own, toks[i]) AND toks[i] IN (SELECT term FROM terms) GROUP BY ALL)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY f)::INTEGER AS pos, term FROM n QUALIFY pos <= 3""")
+@query("history_terms", f"WITH {IX}, {Q}, {_HIST}, {_NEW_TERMS} SELECT * FROM ht")
 def history_terms(spark, d):
     """R5"""
     qs = _queries(spark, d)
     return refine.history_terms(qs, _history(spark, qs), _index(spark, d).terms)
 
 
-@query("refined_search")
+@query("refined_search", f"""{_SPELL}, {_CORRECTED}, cs AS (SELECT qid, corrected AS text FROM cq), {_expand_sql('cs')}, {_hist_sql('cs')}, {_NEW_TERMS},
+al AS (SELECT qid, unnest({_SPLIT.format(c='text')}) AS term FROM cs UNION ALL SELECT qid, unnest(e) FROM ex UNION ALL SELECT qid, term FROM ht),
+qe AS (SELECT DISTINCT al.qid, al.term, CASE WHEN list_contains(ex.e, al.term) THEN 0.4 ELSE 1.0 END AS mult FROM al LEFT JOIN ex USING (qid)),
+s AS ({_bm25_sql('qe', mult='mult')}) {_ranked('s')}""")
 def refined_search(spark, d):
     """BM25 with spelling, synonyms at 0.4 and history"""
     from lodestone.engine import Engine
@@ -562,7 +628,10 @@ def refined_search(spark, d):
     return Engine(ix, dictionary=_dictionary(ix), synonyms=_synonyms(spark)).search(qs, "bm25", refine=True, history=_history(spark, qs))
 
 
-@query("parallel_search")
+_POOLS = f"{IX}, {QT}, {_TFIDF}, s AS ({_bm25_sql('qt')}), rb AS ({_ranked('s', 100)}), rt AS ({_ranked('tfs', 100)})"
+
+
+@query("parallel_search", f"WITH {_POOLS}, f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT qid, doc_id, rank FROM rb UNION ALL SELECT qid, doc_id, rank FROM rt) GROUP BY ALL) {_ranked('f')}")
 def parallel_search(spark, d):
     """A1, H6, H7: BM25 and TF-IDF fused by reciprocal ranks"""
     from lodestone.engine import Engine
@@ -570,7 +639,9 @@ def parallel_search(spark, d):
     return Engine(_index(spark, d)).search(_queries(spark, d), "parallel", fusion="rrf").drop("components")
 
 
-@query("serial_search")
+@query("serial_search", f"""WITH {_POOLS}, one AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n1 FROM rb WINDOW w AS (PARTITION BY qid)),
+two AS (SELECT qid, doc_id, CASE WHEN max(t.score) OVER w = min(t.score) OVER w THEN 1 ELSE (t.score - min(t.score) OVER w) / (max(t.score) OVER w - min(t.score) OVER w) END AS n2 FROM tfs t SEMI JOIN rb USING (qid, doc_id) WINDOW w AS (PARTITION BY qid)),
+f AS (SELECT qid, doc_id, round(coalesce(n2, 0) + 0.001 * n1, 6) AS score FROM one LEFT JOIN two USING (qid, doc_id)) {_ranked('f')}""")
 def serial_search(spark, d):
     """A1, H8: BM25 candidates reranked by TF-IDF"""
     from lodestone.engine import Engine
