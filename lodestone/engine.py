@@ -62,7 +62,7 @@ class Engine:
 
     def _single(self, model: str, ctx: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
         if model in LEXICAL:
-            return lexical.top_k(lexical.SCORERS[model](self.index, ctx, candidates), k)
+            return lexical.search(self.index, ctx, model, k) if candidates is None else lexical.rescore(self.index, ctx, candidates, model, k)
         if model not in self.vectors:
             raise ValueError(f"unknown model {model!r}; there are {self.models()}")
         q = self.encoders[model](ctx.select("qid", "text"))
