@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize
 from lodestone.sources.tables import table
 
 PHRASE = 13  # consecutive plain words
 SHARD_WORDS = 1_000_000  # words indexed together; a shard takes about 60 bytes a word while it is built
-BLOCK_PHRASES = 500_000  # phrases searched in one pass over the corpus
+BLOCK_PHRASES = 500_000  # phrases searched in one pass over the indexes, about: an item's phrases stay together
 SAMPLE = 4  # every so many suffix positions are kept
 
 
@@ -33,6 +36,13 @@ class BitRank:
         self.words.view(np.uint8)[: len(packed)] = packed
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int64)])
 
+    def __getstate__(self):
+        return self.words
+
+    def __setstate__(self, words: np.ndarray):
+        self.words = words
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words[:-1]), dtype=np.int64)])
+
     def ones(self, i: np.ndarray) -> np.ndarray:
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[i >> 6] + np.bitwise_count(self.words[i >> 6] & low)
@@ -110,7 +120,7 @@ class FMIndex:
         self.tree = WaveletTree(x[sa - 1], bits)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n_symbols + 1))])
         marked = sa % sample == 0
-        self.marked, self.samples, self.size = BitRank(marked), sa[marked], len(x)
+        self.marked, self.samples, self.size = BitRank(marked), sa[marked].astype(np.int32 if len(x) < 2**31 else np.int64), len(x)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges [lo, hi) of suffixes that begin with each phrase (one per row), from its last word backwards."""
@@ -176,27 +186,38 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int, phrase: int) ->
         yield ids, np.array(rows), np.array(firsts), parts
 
 
-def _search(phrases: np.ndarray, owners: np.ndarray, vocabulary: pa.Array, shard_words: int):
-    """A task that yields (id, item, first word, end word) of the merged occurrences. phrases: numbers into vocabulary."""
-    length = phrases.shape[1]
+def shard_indexes(docs: DataFrame, phrase: int = PHRASE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(shard binary): an FM-index for about every ``shard_words`` words of docs (id, text of plain words), with the words it knows, the
+    ids of its texts, where they start, and the first word of each. Made inside the scan and written once to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows, firsts, parts in _shards(batches, shard_words, length):
+        for ids, rows, firsts, parts in _shards(batches, shard_words, phrase):
             sizes = np.array([len(p) for p in parts])
             coded = pa.concat_arrays(parts).dictionary_encode()
-            codes, n = coded.indices.to_numpy().astype(np.int64) + 2, len(coded.dictionary)
             words = np.ones(int(sizes.sum()) + len(sizes), np.int64)  # 1 stands between texts
             starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
             inside = np.ones(len(words), bool)
             inside[starts + sizes] = False
-            words[inside] = codes
-            known = pc.fill_null(pc.index_in(vocabulary, coded.dictionary), -1).to_numpy().astype(np.int64)
-            number = known[phrases] + 2
+            words[inside] = coded.indices.to_numpy().astype(np.int64) + 2
+            known = pa.array(coded.dictionary.to_pylist(), pa.string())
+            blob = pickle.dumps((FMIndex(words, len(known) + 1), known, ids, rows, firsts, starts), 5)
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["shard"])
+
+    return materialize(docs.mapInArrow(run, "shard binary"), "shards")
+
+
+def _search(phrases: np.ndarray, owners: np.ndarray, vocabulary: pa.Array):
+    """A task that yields (id, item, first word, end word) of the merged occurrences. phrases: numbers into vocabulary."""
+    length = phrases.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blob in (x for b in batches for x in b.column(0)):
+            index, words, ids, rows, firsts, starts = pickle.loads(blob.as_py())
+            known = pc.fill_null(pc.index_in(vocabulary, words), -1).to_numpy().astype(np.int64)
             usable = np.flatnonzero((known[phrases] >= 0).all(axis=1))
             if not len(usable):
                 continue
-            index = FMIndex(words, n + 1)
-            lo, hi = index.search(number[usable])
+            lo, hi = index.search(known[phrases[usable]] + 2)
             many = hi - lo
             if not many.sum():
                 continue
@@ -216,47 +237,35 @@ def leaked_spans(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                  phrase: int = PHRASE, shard_words: int = SHARD_WORDS, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
     """(doc_id, item_id, first_word, end_word): merged spans of plain words of corpus texts that are phrases of an item.
 
-    A phrase is any run of ``phrase`` plain words of an item. Each task indexes its own texts shard by shard and
-    searches all phrases at once; nothing of the corpus is moved. Phrases reach the tasks in blocks of at most
-    ``block_phrases`` (about 8 bytes a word each), one pass over the corpus per block, so a larger test set costs
-    passes, not memory. Null, empty and short texts hold no phrase. Null ids of the corpus stay null; a repeated row
-    counts as its own text, and the same span twice is one row. Extra columns are ignored.
+    A phrase is any run of ``phrase`` plain words of an item. Each task indexes its own texts shard by shard; the indexes are
+    written once and searched for all phrases of a block at once, so a larger test set costs searches, not indexing or memory.
+    Items are cut into phrases by Spark and reach the tasks in blocks of about ``block_phrases`` (8 bytes a word each). Null,
+    empty and short texts hold no phrase. Null ids of the corpus stay null; a repeated row counts as its own text, and the same
+    span twice is one row. Extra columns are ignored.
     """
     kind, item_kind = corpus.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     spark = corpus.sparkSession
-    schema = f"id {kind}, item long, first long, end long"
+    words = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item_id"), F.split(plain_text(item_text), " ").alias("w")).where(F.size("w") >= phrase)
+    cut = words.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - phrase + 1), lambda i: F.array_join(F.slice("w", i, phrase), " "))).alias("phrase"))
+    cut = materialize(cut.distinct(), "phrases")
+    blocks = -(-cut.count() // block_phrases)
+    if not blocks:
+        return spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, first_word long, end_word long")
     docs = corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
-    parts: list[DataFrame] = []
-    block: list[list[str]] = []
-    owner: list[int] = []
-    keys: list = []
-
-    def flush() -> None:
-        if not block:
-            return
-        flat = pa.array([w for p in block for w in p]).dictionary_encode()
-        numbers = flat.indices.to_numpy().astype(np.int32).reshape(-1, phrase)
-        hits = docs.mapInArrow(_search(numbers, np.array(owner), flat.dictionary, shard_words), schema)
-        names = spark.createDataFrame(list(enumerate(keys)), f"item long, item_id {item_kind}")
-        parts.append(hits.join(F.broadcast(names), "item").select(F.col("id").alias("doc_id"), "item_id", F.col("first").alias("first_word"), F.col("end").alias("end_word")))
-        block.clear(), owner.clear(), keys.clear()
-
-    for r in items.select(F.col(item_col).alias("item"), plain_text(item_text).alias("words")).where("words is not null").toLocalIterator():
-        words = r["words"].split()
-        if len(words) < phrase:
+    shards = shard_indexes(docs, phrase, shard_words)
+    out = None
+    for block in range(blocks):
+        got = cut.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toPandas()
+        if not len(got):
             continue
-        keys.append(r["item"])
-        for p in dict.fromkeys(tuple(words[i : i + phrase]) for i in range(len(words) - phrase + 1)):
-            block.append(p)
-            owner.append(len(keys) - 1)
-        if len(block) >= block_phrases:
-            flush()
-    flush()
-    if not parts:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, first_word long, end_word long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        owner, keys = pd.factorize(got["item_id"], use_na_sentinel=False)
+        flat = pc.list_flatten(pc.split_pattern(pa.array(got["phrase"]), " ")).dictionary_encode()
+        numbers = flat.indices.to_numpy().astype(np.int32).reshape(-1, phrase)
+        hits = shards.mapInArrow(_search(numbers, owner, flat.dictionary), f"id {kind}, item long, first long, end long")
+        names = spark.createDataFrame([(i, None if pd.isna(v) else v.item() if hasattr(v, "item") else v) for i, v in enumerate(keys)], f"item long, item_id {item_kind}")
+        hits = hits.join(F.broadcast(names), "item").select(F.col("id").alias("doc_id"), "item_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"))
+        hits = materialize(hits, "hits") if blocks > 1 else hits
+        out = hits if out is None else out.unionByName(hits)
     return out.distinct()
 
 
@@ -273,10 +282,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans}
 
 
-def _grams(relation: str, key: str) -> str:
-    return rf"""SELECT {key}, array_to_string(w[i:i + {PHRASE - 1}], ' ') AS g FROM (
+def _grams(relation: str, key: str, place: bool = True) -> str:
+    return rf"""SELECT {key}{', i' if place else ''}, array_to_string(w[i:i + {PHRASE - 1}], ' ') AS g FROM (
   SELECT {key}, w, unnest(range(1, len(w) - {PHRASE - 2})) AS i FROM (
     SELECT {key}, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM {relation} WHERE text IS NOT NULL))"""
 
 
-SQL = {"p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) a JOIN ({_grams('benchmark', 'item_id')}) b USING (g)"}
+SQL = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) a JOIN ({_grams('benchmark', 'item_id')}) b USING (g)",
+    "p9_spans": f"""WITH h AS (SELECT DISTINCT doc_id, item_id, i - 1 AS a FROM ({_grams('documents', 'doc_id')}) x JOIN ({_grams('benchmark', 'item_id', False)}) y USING (g)),
+n AS (SELECT *, coalesce(a > lag(a) OVER w + {PHRASE}, true) AS fresh FROM h WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY a)),
+s AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY doc_id, item_id ORDER BY a) AS no FROM n)
+SELECT doc_id, item_id, min(a) AS first_word, max(a) + {PHRASE} AS end_word FROM s GROUP BY doc_id, item_id, no""",
+}

@@ -67,6 +67,21 @@ def test_leaks_against_brute_force(spark, shard, block):
     assert leaks.leaked_spans(corpus, spark.createDataFrame([], "item_id long, text string"), phrase=n).count() == 0
 
 
+def test_several_blocks_cost_one_build(spark, monkeypatch):
+    built, build = [], leaks.shard_indexes
+
+    def seen(*a):
+        built.append(build(*a))
+        return built[-1]
+
+    monkeypatch.setattr(leaks, "shard_indexes", seen)
+    corpus = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{i}", " ".join(f"w{i}x{j}" for j in range(3, 20))) for i in range(30)], "item_id string, text string")
+    got = leaks.leaked_spans(corpus, items, block_phrases=20)
+    assert sorted(map(tuple, got.collect())) == sorted((i, f"i{i}", 3, 20) for i in range(30))
+    assert len(built) == 1 and built[0].inputFiles()
+
+
 def test_radix_counts_recurse(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(f"t{int(rng.expovariate(0.01))}", i, 1 + i % 3) for i in range(4000)] + [("hot", i, 2) for i in range(3000)]
