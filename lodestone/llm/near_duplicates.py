@@ -122,9 +122,37 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(n * (2 * t - 1) - 1e-9).astype(np.int64) + 1
 
 
+POSITIONS = 256  # a position is sent as its share of the set, in so many steps
+
+
+def coarse_position(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (at * POSITIONS // np.maximum(size, 1)).astype(np.uint8)
+
+
+def apart(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The positional filter: at least so many elements are in only one of two sets of x and y elements that share the element at the
+    coarse positions p and q. Elements before it in one set can only match elements before it in the other, so those in excess
+    before it, and those after it, are unmatched; a coarse position stands for a range of places."""
+    low = lambda c, n: -(-(c.astype(np.int64) * n) // POSITIONS)
+    high = lambda c, n: ((c.astype(np.int64) + 1) * n - 1) // POSITIONS
+    i0, i1, j0, j1 = low(p, x), high(p, x), low(q, y), high(q, y)
+    before = np.maximum(0, np.maximum(i0 - j1, j0 - i1))
+    after = np.maximum(0, np.maximum((x - i1) - (y - j0), (y - j1) - (x - i0)))
+    return before + after
+
+
+def level_of(sizes: np.ndarray) -> np.ndarray:
+    """The level of a set's signature."""
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / SIGNED)), 0, 12).astype(np.uint8)
+
+
+def _least_type(most: int):
+    return np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64
+
+
 def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """(level of each set, packed bits of the sets of each level): the parity of the elements by hash modulo SIGNATURE * 2 ** level."""
-    level = np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / SIGNED)), 0, 12).astype(np.uint8)
+    level = level_of(sizes)
     out: dict[int, np.ndarray] = {}
     for v in np.unique(level).tolist():
         at = np.flatnonzero(level == v)
@@ -170,12 +198,14 @@ class Sets:
         bits = {v: np.concatenate([p[3][v] for p in parts if v in p[3]]) for v in levels}
         return Sets(*[np.concatenate([p[i] for p in parts]) for i in range(3)], bits, t)
 
-    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs may reach the threshold: by length, then by the suffix filter on signatures (the number of elements in
-        only one set is at least the number of bits in which their parities differ)."""
+    def near(self, i: np.ndarray, j: np.ndarray, p: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        """Which pairs may reach the threshold: by length, by the positions p and q of the shared key, then by the suffix filter on
+        signatures (the number of elements in only one set is at least the number of bits in which their parities differ)."""
         x, y = self.sizes[i], self.sizes[j]
         need = needed_overlap(x, y, self.t)
         ok = (np.minimum(x, y) >= need) & (self.ids[i] != self.ids[j])
+        if p is not None:
+            ok &= apart(p, x, q, y) <= x + y - 2 * need
         most, low = x + y - 2 * need, np.minimum(self.level[i], self.level[j])
         for v, (place, bits) in self.by_level.items():
             at = np.flatnonzero(ok & (low == v))
@@ -200,12 +230,16 @@ def _pairs(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, n
         a = b
 
 
+_MET = ["a", "b", "run", "no", "least", "most", "blob"]
+
+
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names=["a", "b", "blob"])
+    n = len(a)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_MET)
 
 
-def _emit(sets: Sets, i: np.ndarray, j: np.ndarray, seen: list[np.ndarray]) -> None:
-    ok = sets.near(i, j)
+def _emit(sets: Sets, i: np.ndarray, j: np.ndarray, seen: list[np.ndarray], p: np.ndarray | None = None, q: np.ndarray | None = None) -> None:
+    ok = sets.near(i, j, p, q)
     x, y = sets.ids[i[ok]], sets.ids[j[ok]]
     if len(x):
         seen.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
@@ -279,22 +313,24 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             for v in signs:
                 place[level == v] = np.arange(len(signs[v]))
             key = neighbour_keys(row, h)
-            row, key = _unique(row, key_rarity[_bucket(key)], key)
-            n_keys = np.bincount(row, minlength=len(ids))
-            first = np.cumsum(n_keys) - n_keys
-            take = np.arange(len(row)) - first[row] < prefix_length(sizes, t)[row]
-            row, key = row[take], key[take]
+            at = coarse_position(np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row], sizes[row])
+            # by row, rare first; elements are distinct, so are a set's keys but for chance
+            rarest = np.argsort((row.astype(np.uint64) << np.uint64(52)) | (key_rarity[_bucket(key)].astype(np.uint64) << np.uint64(47)) | key)
+            row, key, at = row[rarest], key[rarest], at[rarest]
+            take = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] < prefix_length(sizes, t)[row]
+            row, key, at = row[take], key[take], at[take]
             part = (key % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            row, part = row[order], part[order]
+            row, part, at = row[order], part[order], at[order]
             short = ((key[order] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts + 1))
             blobs = []
             for a, z in zip(edges[:-1], edges[1:]):
                 own, many = np.unique(row[a:z], return_counts=True)  # keys are still sorted by row inside a part
-                mine = level[own]
-                small = np.uint8 if many.max() < 256 else np.int32
-                blobs.append(pickle.dumps((ids[own], sizes[own].astype(np.uint16 if sizes[own].max() < 65536 else np.int64), mine, {v: signs[v][place[own[mine == v]]] for v in np.unique(mine).tolist()}, many.astype(small), short[a:z]), 5))
+                mine, least = level[own], int(ids[own].min())
+                number = (ids[own] - least).astype(_least_type(int(ids[own].max()) - least))
+                bits = {v: signs[v][place[own[mine == v]]] for v in np.unique(mine).tolist()}
+                blobs.append(pickle.dumps((least, number, sizes[own].astype(_least_type(int(sizes[own].max()))), bits, many.astype(_least_type(int(many.max()))), short[a:z], at[a:z]), 5))
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
@@ -303,14 +339,15 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by_part.setdefault(p, []).append(pickle.loads(blob))
-        for blobs in by_part.values():
-            sets = Sets.joined([x[:4] for x in blobs], t)
+        for part, blobs in by_part.items():
+            sets = Sets.joined([(x[1].astype(np.int64) + x[0], x[2].astype(np.int64), level_of(x[2].astype(np.int64)), x[3]) for x in blobs], t)
             key = np.concatenate([x[5] for x in blobs]).astype(np.uint64)
             doc = np.repeat(np.arange(len(sets.ids)), np.concatenate([x[4] for x in blobs]))
+            place = np.concatenate([x[6] for x in blobs])
             size = np.minimum(sets.sizes, (1 << 32) - 1).astype(np.uint64)
             both = (key << np.uint64(32)) | size[doc]
             order = np.argsort(both, kind="stable")
-            both, doc = both[order], doc[order]
+            both, doc, place = both[order], doc[order], place[order]
             key = both >> np.uint64(32)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             run = np.diff(np.append(start, len(key)))
@@ -321,30 +358,36 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             low = np.searchsorted(both, (key[at] << np.uint64(32)) | least)
             seen: list[np.ndarray] = []
             for i, j in _pairs(low, at - low):
-                _emit(sets, doc[at[i]], doc[j], seen)
+                _emit(sets, doc[at[i]], doc[j], seen, place[at[i]], place[j])
                 yield from _flushed(seen, 1_000_000)
             yield from _flushed(seen, 0)
-            for s, n in hot_runs:
-                cuts = [doc[i : min(i + HOT_BLOCK, s + n)] for i in range(s, s + n, HOT_BLOCK)]
-                for y in range(len(cuts)):
-                    for x in range(y + 1):
-                        if sets.sizes[cuts[x]].max() < t * sets.sizes[cuts[y]].min():
-                            continue
-                        blob = pickle.dumps([sets.slim(cuts[x]), sets.slim(cuts[y])], 5)
-                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=["a", "b", "blob"])
+            for s, n in hot_runs:  # each block once; which of them meet is Spark's to say
+                for no, i in enumerate(range(s, s + n, HOT_BLOCK)):
+                    cut = slice(i, min(i + HOT_BLOCK, s + n))
+                    own = sets.sizes[doc[cut]]
+                    blob = pickle.dumps((sets.slim(doc[cut]), place[cut]), 5)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([(part << 32) | int(key[s])], pa.int64()), pa.array([no], pa.int32()), pa.array([int(own.min())], pa.int64()), pa.array([int(own.max())], pa.int64()), pa.array([blob], pa.binary())], names=_MET)
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob in b.column(2).to_pylist():
-                x, y = pickle.loads(blob)
+            for left, right in zip(b.column(0), b.column(1)):
+                (x, p), (y, q) = pickle.loads(left.as_py()), pickle.loads(right.as_py())
                 sets, seen = Sets.joined([x, y], t), []
                 for i, j in _pairs(np.full(len(x[0]), len(x[0])), np.full(len(x[0]), len(y[0]))):
-                    _emit(sets, i, j, seen)
+                    _emit(sets, i, j, seen, p[i], q[j - len(x[0])])
                 yield from _flushed(seen, 0)
 
-    met = materialize(texts.mapInArrow(keys, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(meet, "a long, b long, blob binary"), "met")
+    met_kind = "a long, b long, run long, no int, least long, most long, blob binary"
+    met = materialize(texts.mapInArrow(keys, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(meet, met_kind), "met")
     blocks = met.where("blob is not null")
-    candidates = met.where("blob is null").select("a", "b").unionByName(blocks.repartition(parts).mapInArrow(meet_blocks, "a long, b long, blob binary").select("a", "b"))
+    # blocks of a key's texts, in order of size: those meet whose lengths may match
+    one, two = (blocks.select("run", F.col("no").alias(f"{c}_no"), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most")) for c in "xy")
+    meeting = one.join(two, "run").where((F.col("x_no") <= F.col("y_no")) & (F.col("x_most") >= F.lit(t) * F.col("y_least"))).select("run", "x_no", "y_no")
+    blobs = lambda c: blocks.select("run", F.col("no").alias(f"{c}_no"), F.col("blob").alias(f"{c}_blob"))
+    pairs = meeting.join(blobs("x"), ["run", "x_no"]).join(blobs("y"), ["run", "y_no"]).select("x_blob", "y_blob")
+    candidates = met.where("blob is null").select("a", "b")
+    if not blocks.isEmpty():
+        candidates = candidates.unionByName(pairs.repartition(parts).mapInArrow(meet_blocks, met_kind).select("a", "b"))
     candidates = materialize(candidates.distinct(), "candidates")
 
     # Only texts in candidates are moved: a bitmap of their ids, of fixed size, drops most others at the scan.
@@ -361,7 +404,9 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
         return s.map(lambda _: True) if not len(v) else s.__class__((bitmap[v >> 3] >> (v & 7) & 1).astype(bool))
 
     some = texts.where(listed(spot("id")))
-    joined = candidates.join(some.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
+    # a text in very many candidates is salted
+    joined = skew_join(candidates, some.select(F.col("id").alias("a"), F.col("words").alias("x")), "a", "inner", heavy_keys(candidates, "a"), ["b"])
+    joined = skew_join(joined, some.select(F.col("id").alias("b"), F.col("words").alias("y")), "b", "inner", heavy_keys(candidates, "b"), ["a"]).select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -401,7 +446,7 @@ def p5_members(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of representatives with similar sets of 3-word shingles, and their similarity."""
-    return similar_pairs(current_classes(table(spark, d, "docs"))[1], 3, 0.6)
+    return similar_pairs(current_classes(table(spark, d, "docs"))[1], 3, 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -412,17 +457,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = pairs.unionByName(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
     x = members.select(F.col("doc_rowid").alias("x"), F.col("rep").alias("a"))
     y = members.select(F.col("doc_rowid").alias("y"), F.col("rep").alias("b"))
-    both = pairs.join(x, "a").join(y, "b").where("a <> b or x < y")
+    one = materialize(skew_join(x, pairs, "a", "inner", heavy_keys(x, "a"), ["x"]), "one_side")  # classes with many members are salted
+    both = skew_join(one, y, "b", "inner", heavy_keys(one, "b"), ["x", "a"]).where("a <> b or x < y")
     return both.select(F.least("x", "y").alias("doc_rowid_a"), F.greatest("x", "y").alias("doc_rowid_b"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_members": p5_members}
-SQL = {
-    "p5_found": r"""WITH cur AS (
-  SELECT doc_rowid, string_split(trim(regexp_replace(lower(raw_text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM docs WHERE doc_rowid IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY doc_rowid ORDER BY ingested_at DESC NULLS LAST) = 1),
-s AS (SELECT DISTINCT doc_rowid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_rowid, w, unnest(range(1, len(w) - 1)) AS i FROM cur WHERE len(w) >= 20)),
+_CUR = r"""cur AS (
+  SELECT doc_rowid, trim(regexp_replace(lower(raw_text), '[^a-z0-9]+', ' ', 'g')) AS t, string_split(t, ' ') AS w FROM docs WHERE doc_rowid IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY doc_rowid ORDER BY ingested_at DESC NULLS LAST) = 1)"""
+
+
+def _similar_sql(source: str) -> str:
+    """CTEs up to c (x, y, o) and n (doc_rowid, n) over texts of ``source`` (doc_rowid, w)."""
+    return f"""s AS (SELECT DISTINCT doc_rowid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_rowid, w, unnest(range(1, len(w) - 1)) AS i FROM {source} WHERE len(w) >= 20)),
 n AS (SELECT doc_rowid, count(*) AS n FROM s GROUP BY doc_rowid),
-c AS (SELECT a.doc_rowid AS x, b.doc_rowid AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_rowid < b.doc_rowid GROUP BY ALL)
-SELECT x AS doc_rowid_a, y AS doc_rowid_b FROM c JOIN n nx ON nx.doc_rowid = x JOIN n ny ON ny.doc_rowid = y WHERE o >= 0.6 * (nx.n + ny.n - o) - 1e-9""",
+c AS (SELECT a.doc_rowid AS x, b.doc_rowid AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_rowid < b.doc_rowid GROUP BY ALL)"""
+
+
+_JOINED = "FROM c JOIN n nx ON nx.doc_rowid = x JOIN n ny ON ny.doc_rowid = y WHERE o >= 0.6 * (nx.n + ny.n - o) - 1e-9"
+SQL = {
+    "p5_found": f"WITH {_CUR}, {_similar_sql('cur')} SELECT x AS doc_rowid_a, y AS doc_rowid_b {_JOINED}",
+    "p5_members": f"WITH {_CUR} SELECT doc_rowid, min(doc_rowid) OVER (PARTITION BY t) AS rep FROM cur WHERE len(w) >= 20",
+    "p5_pairs": f"WITH {_CUR}, reps AS (SELECT min(doc_rowid) AS doc_rowid, any_value(w) AS w FROM cur GROUP BY t), {_similar_sql('reps')} SELECT x AS a, y AS b, round(o / (nx.n + ny.n - o), 6) AS similarity {_JOINED}",
 }

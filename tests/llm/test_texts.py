@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,6 +160,23 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, k, t, hot):
     assert nd.similar_pairs(spark.createDataFrame([], "id long, words string"), k, t).count() == 0
 
 
+def test_positional_filter_is_a_lower_bound():
+    """For every element that two sorted sets share, the filter never counts more unmatched elements than there are, and some."""
+    rng, above = random.Random(4), 0
+    for _ in range(400):
+        top = rng.choice([12, 60, 900])
+        a, b = (sorted(rng.sample(range(top), rng.randrange(2, top))) for _ in range(2))
+        differ = len(set(a) ^ set(b))
+        both = sorted(set(a) & set(b))
+        if both:
+            i, j = np.array([a.index(v) for v in both]), np.array([b.index(v) for v in both])
+            x, y = np.full(len(both), len(a)), np.full(len(both), len(b))
+            got = nd.apart(nd.coarse_position(i, x), x, nd.coarse_position(j, y), y)
+            assert got.max() <= differ
+            above += int(got.max() > abs(len(a) - len(b)))
+    assert above > 20
+
+
 def test_classes_of_copies(spark):
     long = " ".join(WORDS) + " one two three"
     rows = [(1, long, "2024-01-01"), (2, long.upper() + "!!", "2024-01-01"), (3, "short text", "2024-01-01"), (4, None, "2024-01-01"), (5, long, "2024-01-01"), (5, "now short", "2024-02-01"), (6, "", None), (None, long, "2024-01-01"), (2, long.upper() + "!!", "2024-01-01")]
