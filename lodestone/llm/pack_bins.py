@@ -116,5 +116,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents")).where("piece = 1").select("doc_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_packing": p8_packing}
-SQL = {"p8_found": f"SELECT doc_id FROM documents WHERE strlen(text) + 1 > {CAPACITY}"}
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing must keep: documents, their tokens, containers over capacity, documents under the capacity that were split,
+    and whether the containers are at most 2% and 8 more than the tokens need."""
+    packed = pack(table(spark, d, "documents"))
+    bins = packed.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n")).agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("n") > CAPACITY).alias("over_capacity"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces")).agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("split_in_vain"))
+    full = F.col("bins") <= 1.02 * F.ceil(F.col("tokens") / CAPACITY) + 8
+    return docs.crossJoin(bins).select("documents", "tokens", "over_capacity", "split_in_vain", full.alias("well_filled"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_packing": p8_packing, "p8_fill": p8_fill}
+SQL = {
+    "p8_found": f"SELECT doc_id FROM documents WHERE strlen(text) + 1 > {CAPACITY}",
+    "p8_fill": "SELECT count(*) AS documents, coalesce(sum(strlen(text) + 1), 0)::BIGINT AS tokens, 0::BIGINT AS over_capacity, 0::BIGINT AS split_in_vain, true AS well_filled FROM documents WHERE text IS NOT NULL",
+}

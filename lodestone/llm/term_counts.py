@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,13 @@ DUCKDB_MEMORY = "256MB"
 _SCHEMA = pa.schema([("term", pa.string()), ("h", pa.int64()), ("occurrences", pa.int64()), ("df", pa.int64())])
 
 
-def _scratch() -> str:
-    """A folder for one task inside the executor's own spill directory; the task removes it at its end."""
-    roots = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or tempfile.gettempdir()
-    root = roots.split(os.pathsep)[0].split(",")[0]
+def _scratch(given: str) -> str:
+    """A folder for one task inside the executor's own spill folders, another one for each task in turn; the task removes it at its
+    end. Where the cluster names none it lies in the executor's working folder, which ends with the executor."""
+    roots = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or given or os.getcwd()
+    folders = [r for part in roots.split(os.pathsep) for r in part.split(",") if r]
+    context = TaskContext.get()
+    root = folders[(context.taskAttemptId() if context else 0) % len(folders)]
     os.makedirs(root, exist_ok=True)
     return tempfile.mkdtemp(prefix="radix-", dir=root)
 
@@ -60,7 +64,7 @@ def _split(batches: Iterator[pa.Table], shift: int, folder: str) -> Iterator[pa.
     for path, _, (rows,) in files.values():
         with pa.memory_map(path) as src:
             reader = pa.ipc.open_file(src)
-            parts = (pa.Table.from_batches([reader.get_batch(i)]) for i in range(reader.num_record_batches))
+            parts = (_sum(pa.Table.from_batches([reader.get_batch(i)]), folder) for i in range(reader.num_record_batches))
             if rows <= PART_ROWS or shift + FANOUT_BITS >= 56:
                 yield _sum(reader.read_all(), folder)
             else:
@@ -68,11 +72,11 @@ def _split(batches: Iterator[pa.Table], shift: int, folder: str) -> Iterator[pa.
         os.remove(path)
 
 
-def _radix_sum(first_shift: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _radix_sum(first_shift: int, spill: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task: batches in chunks, each chunk aggregated before it is spilled, so one hot term stays one row per chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = _scratch()
+        folder = _scratch(spill)
         try:
 
             def chunks() -> Iterator[pa.Table]:
@@ -106,8 +110,10 @@ def term_counts(postings: DataFrame, parts: int | None = None) -> DataFrame:
     rows = postings.where("term is not null").select(
         "term", F.xxhash64("term").alias("h"), F.coalesce("tf", F.lit(0)).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("df"))
     schema = "term string, h long, occurrences long, df long"
-    local = rows.mapInArrow(_radix_sum(0), schema)
-    return local.repartition(n, "h").mapInArrow(_radix_sum(FANOUT_BITS), schema).drop("h")
+    spark = postings.sparkSession
+    spill = tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.local.dir", "")
+    local = rows.mapInArrow(_radix_sum(0, spill), schema)
+    return local.repartition(n, "h").mapInArrow(_radix_sum(FANOUT_BITS, spill), schema).drop("h")
 
 
 def marked(counts: DataFrame, n_docs: int) -> DataFrame:
