@@ -52,7 +52,7 @@ def _index(spark: SparkSession, d: str) -> Index:
     key = spark.sparkContext.applicationId, d, _stamp(spark, f"{d}/documents.parquet")
     if key in _built:
         return _built[key]
-    ix = build_index(_docs(spark, d), T.tokens(F.col("text")), text_col="text", keep=materialize)
+    ix = build_index(_docs(spark, d), T.tokens(F.col("text")), text_col="text", keep=lambda df, name: materialize(df, name, lasting=True))
     _built[key] = Index(spread(ix.postings), ix.terms, ix.docs, ix.meta, ix.texts)
     return _built[key]
 

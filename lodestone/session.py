@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 _own_dir: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -50,15 +52,42 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df as a table into the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The table
+    goes with ``clean`` unless it is ``lasting``, else when the driver ends; what a crash leaves goes with ``sweep``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    root = _folder(spark)
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete, spark, root)
+    path = f"{root}/{'lasting' if lasting else 'tables'}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all queries of this session so far; call it when their results have been read."""
+    _delete(spark, f"{_folder(spark)}/tables")
+
+
+def sweep(spark: SparkSession, hours: float = 48) -> int:
+    """Deletes what other sessions left in the shared folder and haven't written to for so many hours; gives their number."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = []
+    for s in fs.listStatus(p) if fs.exists(p) else []:
+        newest = max([s.getModificationTime(), *(c.getModificationTime() for c in fs.listStatus(s.getPath()))])
+        if newest < (time.time() - 3600 * hours) * 1000 and s.getPath().getName() != spark.sparkContext.applicationId:
+            old.append(s.getPath())
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its files give fewer tasks than there are cores; else as it is. Only small inputs are moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -22,6 +22,38 @@ def test_salted_aggregate(rows):
     assert salted_aggregate(rows.limit(0), "k", [count_rows("c")], heavy_keys(rows.limit(0), "k"), ["id"]).count() == 0
 
 
+def test_a_light_key_is_spread_over_many_tasks(spark):
+    """A key of 0.8% of the rows is more than its share of 200 tasks."""
+    from lodestone.operators.skew import SALT, with_salt
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(400_000).select(F.when(F.col("id") % 125 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9000)).alias("k"), "id")
+        heavy = heavy_keys(df, "k")
+        assert heavy == ["hot"] and heavy.salts["hot"] >= 6
+        tasks = with_salt(df, "k", heavy, ["id"]).repartition(200, "k", SALT).groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+        assert len(tasks) >= 190 and tasks.max() <= 3 * tasks.median()
+        plain = df.repartition(200, "k").groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+        assert plain.max() > tasks.max()
+        totals = salted_aggregate(df, "k", [count_rows("n")], heavy, ["id"])
+        assert totals.where("k = 'hot'").first().n == 3200 and totals.count() == 9000 - 72 + 1  # 72 of the 9000 remainders are always hot
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tables_go_with_clean_and_sweep(spark):
+    from lodestone.operators.index import exists
+    from lodestone.session import clean, materialize, sweep
+
+    short, long = materialize(spark.range(3), "short"), materialize(spark.range(3), "long", lasting=True)
+    clean(spark)
+    assert not exists(spark, short.inputFiles()[0]) and long.count() == 3
+    assert sweep(spark, 0) >= 0 and long.count() == 3
+
+
 def test_skew_join(spark, rows):
     right = spark.createDataFrame([("hot", "x"), ("k3", "y"), ("none", "z")], "k string, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
