@@ -13,8 +13,9 @@ from lodestone.functions import text as T
 from lodestone.operators import dense, hybrid, lexical, metrics, refine
 from lodestone.operators.index import Index, build_index, docs_by_id, lookup, postings_of, vocabulary
 from lodestone.operators.skew import heavy_keys, ranked_within
+from lodestone import session
 from lodestone.session import materialize, spread
-from lodestone.sources import corpus
+from lodestone.sources import corpus, vectors
 from lodestone.sources.tables import CURRENT_SQL, current_docs, known_time, table
 
 QUERIES, SQL = {}, {}
@@ -117,6 +118,27 @@ def tokens_stem(spark, d):
     return T.stemmed(rows).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+LEMMAS = [("schools", "n", "school"), ("students", "n", "student"), ("taxes", "n", "tax"), ("rules", "n", "rule"), ("people", "n", "person"), ("streets", "n", "street"), ("is", "v", "be"), ("are", "v", "be")]
+
+
+@query("tokens_lemma", f"WITH {TOK} SELECT coalesce(l.lemma, term) AS lemma, count(*) AS n FROM tok LEFT JOIN (VALUES {', '.join(map(repr, LEMMAS))}) l(form, pos, lemma) ON l.form = term AND l.pos = 'n' GROUP BY ALL")
+def tokens_lemma(spark, d):
+    """Counts of lemmas over documents, every word taken for a noun"""
+    rows = _docs(spark, d).select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("pos", F.lit("NN"))
+    lemmas = spark.createDataFrame(LEMMAS, "form string, pos string, lemma string")
+    return T.lemmatised(rows, lemmas).groupBy(F.col("term").alias("lemma")).agg(F.sum("n").alias("n"))
+
+
+@query("language_guess", f"""WITH {TOK}, cw AS (SELECT DISTINCT lower(lang) AS lang, lower(word) AS term FROM common_words WHERE lang IS NOT NULL AND word IS NOT NULL),
+h AS (SELECT doc_id, lang, count(*) AS n FROM tok JOIN cw USING (term) GROUP BY ALL), b AS (SELECT doc_id, lang FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1)
+SELECT doc_id, b.lang AS lang, coalesce(len({_SPLIT.format(c='text')}), 0)::INTEGER AS n_tags FROM documents LEFT JOIN b USING (doc_id)""")
+def language_guess(spark, d):
+    """The language of each document by its common words, and a tag for each token"""
+    lexicon = spark.createDataFrame([("school", "NN"), ("the", "DT")], "form string, pos string")
+    got = T.preprocessed(_docs(spark, d), "text", lexicon, table(spark, d, "common_words"), T.Analyser())
+    return got.select("doc_id", "lang", F.size("pos_tags").alias("n_tags"))
+
+
 @query("process_count", f"SELECT doc_id, coalesce(len({_SPLIT.format(c='text')}), 0)::INTEGER AS num_tokens FROM documents")
 def process_count(spark, d):
     """T11"""
@@ -315,6 +337,15 @@ def vectors_norm(spark, d):
     return rows.select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
+@query("vector_store", "SELECT vec_id AS doc_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 3) AS unit, 64 AS dim, (SELECT count(*) FROM embeddings) AS n FROM embeddings")
+def vector_store(spark, d):
+    """The store of embeddings, written and opened; the supplied vectors are of unit length already"""
+    path = f"{session.scratch(spark)}/store"
+    vectors.write_store(_embeddings(spark, d), path, "embeddings")
+    store = vectors.open_store(spark, path)
+    return store.vectors.select("doc_id", F.round(dense.norm(F.col("vec")), 3).alias("unit"), F.lit(store.dim).alias("dim"), F.lit(store.n).alias("n"))
+
+
 @query("dense_topk", f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) {_ranked('s')}")
 def dense_topk(spark, d):
     """V6: every vector with an id divisible by 20 against all"""
@@ -361,8 +392,8 @@ SELECT doc_id, i::INTEGER AS i, round(coalesce(value, 0), 6) AS value FROM (SELE
 def mean_pool(spark, d):
     """V2 with word vectors made from md5; documents without words have zeros"""
     toks = _docs(spark, d).select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("term"))
-    vectors = toks.where("term is not null").select("term").distinct().select("term", _word_vector(F.col("term")).alias("vec"))
-    return dense.mean_vectors(toks, vectors).select("doc_id", F.posexplode("vec").alias("i", "value")).withColumn("value", F.round("value", 6))
+    wv = toks.where("term is not null").select("term").distinct().select("term", _word_vector(F.col("term")).alias("vec"))
+    return dense.mean_vectors(toks, wv).select("doc_id", F.posexplode("vec").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("window_pairs", f"""WITH t AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, {_SPLIT.format(c='text')} AS toks FROM documents))
@@ -520,6 +551,16 @@ def eval_compare(spark, d):
     return metrics.compare(side("bm25"), side("bert"))
 
 
+@query("eval_change", f"""WITH {_QRELS}, {_SCORED}, bm AS (SELECT qid, doc_id, r AS rank FROM sc WHERE model = 'bm25'), te AS (SELECT qid, doc_id, r AS rank FROM sc WHERE model = 'bert'),
+x AS (SELECT * FROM (WITH {_EVAL.format(run='bm')} {_AGG})), y AS (SELECT * FROM (WITH {_EVAL.format(run='te')} {_AGG}))
+SELECT m AS measure, CASE WHEN a = 0 THEN 0 ELSE round((b - a) / a * 100, 4) END AS percent FROM (
+  SELECT m, CASE m WHEN 'map' THEN x.map WHEN 'recall' THEN x.recall WHEN 'p_at_k' THEN x.p_at_k ELSE x.ndcg_at_k END AS a,
+    CASE m WHEN 'map' THEN y.map WHEN 'recall' THEN y.recall WHEN 'p_at_k' THEN y.p_at_k ELSE y.ndcg_at_k END AS b FROM x, y, (SELECT unnest(['map', 'recall', 'p_at_k', 'ndcg_at_k']) AS m))""")
+def eval_change(spark, d):
+    """The change from bm25 to bert in percent"""
+    return eval_compare(spark, d).select("measure", F.round(T.percent_change(F.col("before"), F.col("after")), 4).alias("percent"))
+
+
 def _dictionary(ix: Index) -> DataFrame:
     return ix.terms.where("df >= 5 and term rlike '^[a-z]+$'").select(F.col("term").alias("word"))
 

@@ -56,17 +56,21 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The table
-    goes with ``clean`` unless it is ``lasting``, else when the driver ends; what a crash leaves goes with ``sweep``."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, lasting: bool = False) -> str:
+    """A new folder of this session in the shared one. It goes with ``clean`` unless it is ``lasting``, else when the driver ends; what
+    a crash leaves goes with ``sweep``."""
     root = _folder(spark)
     if root not in _roots:
         _roots.add(root)
         atexit.register(_delete, spark, root)
-    path = f"{root}/{'lasting' if lasting else 'tables'}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{'lasting' if lasting else 'tables'}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df as a table into a ``scratch`` folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    path = f"{scratch(df.sparkSession, lasting)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
