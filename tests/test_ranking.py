@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
-from lodestone.functions.text import tokens
+from lodestone.functions.text import STANDARD, stemmed, tokens
 from lodestone.operators import dense, hybrid, lexical, metrics, refine
 from lodestone.operators.index import Index, build_index, check_unique, docs_by_id, lookup, vocabulary
 
@@ -275,6 +275,43 @@ def test_engine(spark, index):
     assert agg.first().num_queries == 1
 
 
+def test_refinement_is_analysed_like_the_index(spark):
+    qs = spark.createDataFrame([(1, "running schools")], "qid int, text string")
+    hist = spark.createDataFrame([(1, 0, "the school buses"), (1, 1, "dogs")], "qid int, pos int, query string")
+    terms = spark.createDataFrame([("school", 3), ("bu", 2), ("buse", 2), ("run", 1)], "term string, df long")
+    got = refine.history_terms(qs, hist, terms, stemmer=stemmed, analyse=STANDARD.tokens).collect()
+    assert [r.term for r in got] == ["buse"]
+    assert [r.suggestion for r in refine.suggest(qs, hist, terms, stemmer=stemmed, analyse=STANDARD.tokens).orderBy("pos").collect()] == ["the school buses", "running school"]
+
+
+def test_catalogue_of_engines(spark, tmp_path):
+    from lodestone.engine import Engines, status
+    from lodestone.operators.index import index_texts
+    from lodestone.sources.corpus import Catalogue, Dataset
+
+    docs = spark.createDataFrame([("a", "Running dogs"), ("b", "A cat"), ("c", None)], "doc_id string, text string")
+    path = f"file://{tmp_path}/ix"
+    engines = Engines(spark, Catalogue([Dataset("x", "X", "nowhere", path)]))
+    with pytest.raises(FileNotFoundError, match="lodestone.cli build"):
+        engines.get("x")
+    index_texts(docs, "text", STANDARD).save(path)
+    e = engines.get("x")
+    assert engines.get("x") is e and e.index.analyser == STANDARD
+    qs = spark.createDataFrame([("q", "the dog runs"), (None, "cat")], "qid string, text string")
+    assert [r.doc_id for r in e.search(qs).collect()] == ["a"]
+    assert status(spark, path).first().num_docs == 3
+    qrels = spark.createDataFrame([("q", "a", 1)], "qid string, doc_id string, rel int")
+    assert e.evaluate(qs, qrels)[1] is e.evaluate(qs, qrels)[1] and e.evaluate(qs, qrels, k1=2.0)[1] is not e.evaluate(qs, qrels)[1]
+
+
+def test_a_large_batch_is_joined_by_term(spark, index, monkeypatch):
+    q = ask(spark, "cat dog bird", "cat", "dog zz")
+    cands = spark.createDataFrame([(0, "a"), (1, "b")], "qid int, doc_id string")
+    want = [as_dict(lexical.search(index, q, m)) for m in ("bm25", "tfidf")] + [as_dict(lexical.rescore(index, q, cands))]
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
+    assert want == [as_dict(lexical.search(index, q, m)) for m in ("bm25", "tfidf")] + [as_dict(lexical.rescore(index, q, cands))]
+
+
 def test_word2vec_similar_trains_the_full_model(spark, monkeypatch):
     from lodestone.operators import dense
     from lodestone.plans import retrieval

@@ -56,3 +56,19 @@ def test_search_in_an_index_of_stems(spark):
     queries = spark.createDataFrame([(1, "a runs falling"), (2, "a")], "qid long, text string")
     assert {r.qid: r.tokens for r in engine.context(queries).collect()} == {1: ["run", "fall"], 2: []}
     assert sorted((r.qid, r.doc_id) for r in engine.search(queries, "bm25").collect()) == [(1, "a"), (1, "b")]
+
+
+def test_offline_preprocessing(spark):
+    rows = spark.createDataFrame([(1, "The cats are running"), (2, "Der Hund ist da"), (3, ""), (4, None), (5, "xyz"), (1, "The cats are running")], "i int, text string").withColumn("lang", F.lit("clash"))
+    common = spark.createDataFrame([("en", "the"), ("en", "are"), ("de", "Der"), ("DE", "ist"), (None, "x"), ("fr", None)], "lang string, word string")
+    lexicon = spark.createDataFrame([("running", "VBG"), ("cats", "NNS")], "form string, pos string")
+    got = T.preprocessed(rows.drop("lang"), "text", lexicon, common, T.STANDARD).collect()
+    assert len(got) == 6
+    first = next(r for r in got if r.i == 1)
+    assert (first.lang, first.tokens, first.pos_tags) == ("en", ["cat", "run"], ["NNS", "VBG"])
+    assert {r.i: r.lang for r in got} == {1: "en", 2: "de", 3: None, 4: None, 5: None} and all(len(r.tokens) == len(r.pos_tags) for r in got)
+    assert T.preprocessed(rows.drop("lang"), "text").where("lang is not null or pos_tags is not null").count() == 0
+
+
+def test_analyser_round_trip():
+    assert T.Analyser.loads(T.STANDARD.dumps()) == T.STANDARD and T.Analyser.loads(None) == T.Analyser()
