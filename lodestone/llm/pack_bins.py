@@ -120,11 +120,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """What the packing must keep: documents, their tokens, containers over capacity, documents under the capacity that were split,
     and whether the containers are at most 2% and 8 more than the tokens need."""
     packed = pack(table(spark, d, "documents"))
-    bins = packed.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n")).agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("n") > CAPACITY).alias("over_capacity"))
-    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces")).agg(
-        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("split_in_vain"))
+    bins = packed.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n")).select("n", F.lit(None).cast("long").alias("pieces"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    is_doc = F.col("pieces").isNotNull()
+    got = docs.select("n", "pieces").unionByName(bins).agg(
+        F.count_if(is_doc).alias("documents"), F.coalesce(F.sum(F.when(is_doc, F.col("n"))), F.lit(0)).alias("tokens"), F.count_if(~is_doc).alias("bins"),
+        F.count_if(~is_doc & (F.col("n") > CAPACITY)).alias("over_capacity"), F.count_if(is_doc & (F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("split_in_vain"))
     full = F.col("bins") <= 1.02 * F.ceil(F.col("tokens") / CAPACITY) + 8
-    return docs.crossJoin(bins).select("documents", "tokens", "over_capacity", "split_in_vain", full.alias("well_filled"))
+    return got.select("documents", "tokens", "over_capacity", "split_in_vain", full.alias("well_filled"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_packing": p8_packing, "p8_fill": p8_fill}
