@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.leaks import plain_text
 from lodestone.operators.skew import heavy_keys, skew_join
-from lodestone.session import materialize
+from lodestone.session import discard, freed_shuffles, materialize
 from lodestone.sources.tables import known_time, table
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 SKETCH_BITS = 20  # counts by hash: a fixed 2 ** 20 counters, whatever the size of the collection
 SKETCH_ROWS = 256  # rows that carry the counters
 PART_KEYS = 4_000_000  # keys brought together in one task
+ROUND_BYTES = 9  # shuffled a shingle at most in one round
+KEY_BYTES, OWN_BYTES = 5, 6  # of a key and its position, and of a text's number, size and number of keys
 CHUNK_DOCS, CHUNK_BYTES = 4096, 2 << 20  # texts handled at once
 PAIRS_AT_ONCE = 1 << 21
 HOT_RUN = 8192  # a key of more texts is compared in blocks of HOT_BLOCK, spread over all tasks
@@ -199,13 +202,11 @@ class Sets:
         return Sets(*[np.concatenate([p[i] for p in parts]) for i in range(3)], bits, t)
 
     def near(self, i: np.ndarray, j: np.ndarray, p: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
-        """Which pairs may reach the threshold: by length, by the positions p and q of the shared key, then by the suffix filter on
-        signatures (the number of elements in only one set is at least the number of bits in which their parities differ)."""
+        """Which pairs may reach the threshold: by length, by the suffix filter on signatures (the number of elements in only one set is
+        at least the number of bits in which their parities differ), which leaves fewest, then by the positions p and q of the shared key."""
         x, y = self.sizes[i], self.sizes[j]
         need = needed_overlap(x, y, self.t)
         ok = (np.minimum(x, y) >= need) & (self.ids[i] != self.ids[j])
-        if p is not None:
-            ok &= apart(p, x, q, y) <= x + y - 2 * need
         most, low = x + y - 2 * need, np.minimum(self.level[i], self.level[j])
         for v, (place, bits) in self.by_level.items():
             at = np.flatnonzero(ok & (low == v))
@@ -215,6 +216,9 @@ class Sets:
                 for w in range(bits.shape[1]):
                     differ += np.bitwise_count(bits[a, w] ^ bits[b, w])
                 ok[at] = differ <= most[at]
+        if p is not None:
+            at = np.flatnonzero(ok)
+            ok[at] = apart(p[at], x[at], q[at], y[at]) <= most[at]
         return ok
 
 
@@ -277,7 +281,8 @@ def _count_sketch(texts: DataFrame, value) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "counts"])
 
     parts = min(SKETCH_ROWS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sums = texts.mapInArrow(count, "row int, counts binary").repartition(parts, "row").mapInArrow(add, "row int, counts binary").collect()
+    with freed_shuffles(texts.sparkSession):
+        sums = texts.mapInArrow(count, "row int, counts binary").repartition(parts, "row").mapInArrow(add, "row int, counts binary").collect()
     out = np.zeros((SKETCH_ROWS, width), np.int64)
     for r in sums:
         out[r["row"]] = np.frombuffer(r["counts"], np.int64)
@@ -288,12 +293,30 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
 
-def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part_keys: int = PART_KEYS, hot_run: int = HOT_RUN) -> DataFrame:
+def rounds_of(texts: int, elements: int, signed: int, parts: int, t: float, most: float) -> int:
+    """In how many rounds to send the keys of so many texts of so many elements in all, so that none sends more than ``most`` bytes.
+    A text sends its keys and, to each part that gets any of them, its signature (``signed`` bytes for all texts together): the more
+    parts, the more signatures."""
+    keys = 2 * (1 - t) * elements / max(1, texts) + 1
+    rounds = 1
+    while True:
+        met, mine = ceil_parts(parts, rounds), keys / rounds
+        if rounds >= keys or texts * mine * KEY_BYTES + signed * met * (1 - (1 - 1 / met) ** mine) <= most:
+            return rounds
+        rounds += 1
+
+
+def ceil_parts(parts: int, rounds: int) -> int:
+    return max(1, -(-parts // rounds))
+
+
+def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part_keys: int = PART_KEYS, hot_run: int = HOT_RUN, round_bytes: float = ROUND_BYTES) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of texts (id long, words string) whose sets of k-word shingles have a Jaccard
     similarity of at least t (over one half). words: plain words with single spaces, ids unique, no null.
 
     Every pair over the threshold comes out: keys, lengths and signatures only drop pairs that can't reach it, and each
-    candidate is verified once on its whole texts. Texts of fewer than k words have no shingle and no partner.
+    candidate is verified once on its whole texts. Texts of fewer than k words have no shingle and no partner. Keys that would
+    take more than ``round_bytes`` of shuffle a shingle are met in rounds, a slice of them each, and made again for each.
     """
     if not 0.5 < t <= 1:
         raise ValueError("the threshold must be over one half")
@@ -301,9 +324,16 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
     counts = _count_sketch(texts, lambda x: shingles(x, k)[1])
     rarity = _classes(counts)
     key_rarity = _classes(_count_sketch(texts, lambda x: neighbour_keys(*sorted_sets(x, k, rarity))))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(counts.sum()) / part_keys))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    elements = int(counts.sum())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(elements / part_keys))
+    size = F.length("words") - F.length(F.translate("words", " ", "")) + 2 - k  # of the set, if no shingle repeats
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / SIGNED)))
+    n, signed = texts.agg(F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), level) * (SIGNATURE // 8) + OWN_BYTES)).first()
+    rounds = rounds_of(n, elements, signed or 0, parts, t, round_bytes * elements)
+    parts = ceil_parts(parts, rounds)  # of a round
+    slices = np.uint64(parts * rounds)
+
+    def keys(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             ids = b.column(0).to_numpy()
             row, h = sorted_sets(b.column(1), k, rarity)
@@ -318,11 +348,13 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             rarest = np.argsort((row.astype(np.uint64) << np.uint64(52)) | (key_rarity[_bucket(key)].astype(np.uint64) << np.uint64(47)) | key)
             row, key, at = row[rarest], key[rarest], at[rarest]
             take = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] < prefix_length(sizes, t)[row]
+            if rounds > 1:
+                take &= key % slices % np.uint64(rounds) == turn
             row, key, at = row[take], key[take], at[take]
-            part = (key % np.uint64(parts)).astype(np.int64)
+            part = (key % slices // np.uint64(rounds)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             row, part, at = row[order], part[order], at[order]
-            short = ((key[order] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            short = ((key[order] // slices) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts + 1))
             blobs = []
             for a, z in zip(edges[:-1], edges[1:]):
@@ -334,7 +366,7 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -346,7 +378,7 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
             place = np.concatenate([x[6] for x in blobs])
             size = np.minimum(sets.sizes, (1 << 32) - 1).astype(np.uint64)
             both = (key << np.uint64(32)) | size[doc]
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             both, doc, place = both[order], doc[order], place[order]
             key = both >> np.uint64(32)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -366,7 +398,7 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
                     cut = slice(i, min(i + HOT_BLOCK, s + n))
                     own = sets.sizes[doc[cut]]
                     blob = pickle.dumps((sets.slim(doc[cut]), place[cut]), 5)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([(part << 32) | int(key[s])], pa.int64()), pa.array([no], pa.int32()), pa.array([int(own.min())], pa.int64()), pa.array([int(own.max())], pa.int64()), pa.array([blob], pa.binary())], names=_MET)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([((part * rounds + turn) << 32) | int(key[s])], pa.int64()), pa.array([no], pa.int32()), pa.array([int(own.min())], pa.int64()), pa.array([int(own.max())], pa.int64()), pa.array([blob], pa.binary())], names=_MET)
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,7 +410,11 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
                 yield from _flushed(seen, 0)
 
     met_kind = "a long, b long, run long, no int, least long, most long, blob binary"
-    met = materialize(texts.mapInArrow(keys, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(meet, met_kind), "met")
+    turns = []
+    for turn in range(rounds):  # the shuffle of a round is gone before the next
+        sent = texts.mapInArrow(partial(keys, turn), "part int, blob binary").repartitionById(parts, F.col("part"))
+        turns.append(materialize(sent.mapInArrow(partial(meet, turn), met_kind), "met"))
+    met = reduce(DataFrame.unionByName, turns)
     blocks = met.where("blob is not null")
     # blocks of a key's texts, in order of size: those meet whose lengths may match
     one, two = (blocks.select("run", F.col("no").alias(f"{c}_no"), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most")) for c in "xy")
@@ -389,6 +425,7 @@ def similar_pairs(texts: DataFrame, k: int = SHINGLE, t: float = THRESHOLD, part
     if not blocks.isEmpty():
         candidates = candidates.unionByName(pairs.repartition(parts).mapInArrow(meet_blocks, met_kind).select("a", "b"))
     candidates = materialize(candidates.distinct(), "candidates")
+    discard(*turns)
 
     # Only texts in candidates are moved: a bitmap of their ids, of fixed size, drops most others at the scan.
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
@@ -436,7 +473,9 @@ def current_classes(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
     classes = current.groupBy("h").agg(F.min("doc_rowid").alias("rep"))
     members = materialize(skew_join(current, classes, "h", "inner", heavy_keys(current, "h"), ["doc_rowid"]).select("doc_rowid", "rep"), "members")
     words = rows.where(enough).select(digest.alias("h"), "words").groupBy("h").agg(F.first("words").alias("words"))
-    return members, materialize(words.join(classes, "h").select(F.col("rep").alias("id"), "words"), "texts")
+    texts = materialize(words.join(classes, "h").select(F.col("rep").alias("id"), "words"), "texts")
+    discard(current)
+    return members, texts
 
 
 def p5_members(spark: SparkSession, d: str) -> DataFrame:

@@ -160,6 +160,30 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, k, t, hot):
     assert nd.similar_pairs(spark.createDataFrame([], "id long, words string"), k, t).count() == 0
 
 
+@pytest.mark.parametrize("hot", [8192, 4])
+def test_rounds_change_nothing(spark, monkeypatch, hot):
+    rng = random.Random(hot)
+    base = [[rng.choice(WORDS) for _ in range(rng.choice([5, 25, 60, 150]))] for _ in range(30)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(base + [_edited(rng, rng.choice(base), rng.choice([1, 2, 5])) for _ in range(120)])]
+    monkeypatch.setattr(nd, "HOT_BLOCK", 3)
+    names, materialize = [], nd.materialize
+    monkeypatch.setattr(nd, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    df = spark.createDataFrame(texts, "id long, words string")
+    got = {(r.a, r.b) for r in nd.similar_pairs(df, 3, 0.6, part_keys=500, hot_run=hot, round_bytes=9).collect()}
+    assert got == _brute(texts, 3, 0.6) and len(got) > 20
+    assert names.count("met") > 1
+
+
+def test_no_round_sends_more_than_its_bytes_however_many_parts():
+    n, elements, signed = 1_000_000, 145_000_000, 45_000_000
+    for parts in (12, 125, 620, 2300, 100_000):
+        rounds, keys = nd.rounds_of(n, elements, signed, parts, 0.6, 9 * elements), 0.8 * 145 + 1
+        mine, met = keys / rounds, nd.ceil_parts(parts, rounds)
+        assert n * mine * 5 + signed * min(met, mine) <= 9 * elements * 1.6  # min() is above the expected number of parts
+        assert 1 <= rounds <= 8 and (parts > 12 or rounds == 1)
+    assert nd.rounds_of(0, 0, 0, 12, 0.6, 0) == 1
+
+
 def test_positional_filter_is_a_lower_bound():
     """For every element that two sorted sets share, the filter never counts more unmatched elements than there are, and some."""
     rng, above = random.Random(4), 0

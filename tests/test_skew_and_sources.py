@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,28 @@ def test_tables_go_with_clean_and_sweep(spark):
     assert sweep(spark, 0) >= 0 and long.count() == 3
 
 
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {os.path.join(r, f) for d in dirs for r, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from lodestone.operators.index import exists
+    from lodestone.session import discard, materialize
+
+    before = _shuffle_files(spark)
+    df = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(df, "counts")
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and kept.agg(F.sum("n")).first()[0] == 5000
+    discard(kept)
+    assert not exists(spark, kept.inputFiles()[0])
+    assert sorted(map(tuple, df.collect()))[:2] == [(0, 50), (1, 50)]
+
+
 def test_skew_join(spark, rows):
     right = spark.createDataFrame([("hot", "x"), ("k3", "y"), ("none", "z")], "k string, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
