@@ -131,6 +131,19 @@ def test_aggregate_ranks(spark):
     assert rank_scores.aggregate_ranks(_results(spark, rows).limit(0)).count() == 0
 
 
+def test_first_docs_need_no_significance(spark, monkeypatch, tmp_path):
+    """'b' has one first place and the least rho, 'a' the least sum of places; on equal sums the lesser doc_id is first."""
+    scores = {"a": (7.0, 7.0, 7.0), "b": (9.0, 0.0, 0.0), "c": (1.0, 9.0, 2.0), "d": (2.0, 1.0, 9.0)}
+    rows = [("q", d, dict(zip("lmn", s)), "2024-01-01") for d, s in scores.items()] + [("tie", d, {"m": 1.0}, None) for d in "yx"] + [("none", "a", {}, None)]
+    _results(spark, rows).write.parquet(f"{tmp_path}/search_results.parquet")
+    called, rho = [], rank_scores.rank_significance
+    monkeypatch.setattr(rank_scores, "rank_significance", lambda c: called.append(c) or rho(c))
+    assert sorted(map(tuple, rank_scores.p6_found(spark, str(tmp_path)).collect())) == [("q", "a"), ("tie", "x")]
+    assert not called
+    ranked = {(r.query_id, r.doc_id): r.rank for r in rank_scores.p6_ranking(spark, str(tmp_path)).collect()}
+    assert called and len(ranked) == 7 and sorted(v for (q, _), v in ranked.items() if q == "q") == [1, 2, 3, 4]
+
+
 def test_stats_equal_plain_python(spark):
     common = ["the", "is", "été"]
     texts = [t for t, _ in HOLDOUT] + ["", " \n\t", "The é is. \r\n\r\n été!?\n\n x", "a" * 50_000 + ".", "1 2 3", "été the"]
