@@ -46,6 +46,21 @@ def test_regions_and_blocks_change_nothing(spark, monkeypatch):
     assert (asked[0][0] == asked[1][0]).mean() > 0.99 and (asked[0][0] >= 0).all()
 
 
+def test_rounds_send_few_copies_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[800:] = x[:100]
+    monkeypatch.setattr(sv, "REGION_ROWS", 60)
+    tables, materialize = [], sv.materialize
+    monkeypatch.setattr(sv, "materialize", lambda df, name: tables.append((name, df.columns)) or materialize(df, name))
+    ask = lambda: sorted(map(tuple, sv.neighbours(frame(spark, x), 5, probes=6, leaf_rows=20).collect()))
+    several = ask()
+    assert [n for n, _ in tables].count("found") > 1
+    monkeypatch.setattr(sv, "ROUND_COPIES", 1000), tables.clear()
+    assert ask() == several and [n for n, _ in tables].count("found") == 1
+    assert len({r[1] for r in several}) == 900
+
+
 def test_integer_tables_add_up():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(500, 17)).astype(np.float32)
