@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import Analyser
 
 
+SMALL_ROWS = 200_000  # terms or documents whose figures are broadcast to the postings at most: some 20 MB
+
+
 @dataclass
 class Index:
     """postings (term, doc_id, tf), terms (term, df, idf), docs (doc_id, length, tfidf_norm), meta (num_docs, avgdl, total_terms)
@@ -74,18 +77,23 @@ def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", text_co
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = keep(df.select("term", "df", F.log(counts.select("num_docs").scalar() / F.col("df")).alias("idf")), "terms")
     weight = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    norms = postings.join(terms.select("term", "idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("tfidf_norm"))
+    norms = postings.join(_small(terms.select("term", "idf"), stored), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("tfidf_norm"))
     doc_rows = keep(lengths.join(norms, "doc_id", "left").select("doc_id", "length", F.coalesce("tfidf_norm", F.lit(0.0)).alias("tfidf_norm")), "docs")
     n_terms = terms.agg(F.count(F.lit(1)).alias("total_terms"))
     meta = counts.select(
         "num_docs", F.when(F.col("num_docs") > 0, F.coalesce(F.col("total"), F.lit(0)) / F.col("num_docs")).otherwise(0.0).alias("avgdl"), n_terms.scalar().alias("total_terms"))
     meta = keep(meta, "meta")
     if stored:
-        postings = keep(postings.join(doc_rows, "doc_id").select("term", "doc_id", "tf", "length", "tfidf_norm"), "scored")
+        postings = keep(postings.join(_small(doc_rows, stored), "doc_id").select("term", "doc_id", "tf", "length", "tfidf_norm"), "scored")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw_text")) if text_col else None
     return Index(postings, terms, doc_rows, meta, texts)
 
 
+def _small(table: DataFrame, stored: bool) -> DataFrame:
+    """The table, to be broadcast if it is stored, so that counting it is cheap, and has at most SMALL_ROWS rows."""
+    return F.broadcast(table) if stored and table.count() <= SMALL_ROWS else table
+
+
 def index_texts(docs: DataFrame, text_col: str, analyser: Analyser = Analyser(), id_col: str = "doc_id", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
     """The index of raw texts, treated by ``analyser``, which stays with it."""
     rows = analyser.add(docs.select(id_col, F.col(text_col).alias("__text")), "__text")
