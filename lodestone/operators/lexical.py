@@ -149,5 +149,7 @@ def rescore(index: Index, queries: DataFrame, candidates: DataFrame, model: str
 
 
 def with_text(index: Index, run: DataFrame) -> DataFrame:
-    """The run with raw_text, joined after the top k."""
-    return run.join(index.texts, "doc_id", "left")
+    """The run with raw_text, joined after the top k. Texts of other documents aren't moved."""
+    wanted = run.select("doc_id").distinct()
+    few = wanted.count() <= BROADCAST_ROWS
+    return run.join(index.texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "doc_id", "left")

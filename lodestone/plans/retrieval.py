@@ -311,7 +311,7 @@ SELECT qid, doc_id, rank, {_MARKED} AS snippet FROM l""".replace("documents USIN
 def highlights(spark, d):
     """Snippets with the query's words marked"""
     ix, asked = _index(spark, d), _asked(spark, d)
-    hits = lexical.with_text(ix, lexical.search(ix, asked)).join(asked.select("qid", "text"), "qid")
+    hits = lexical.with_text(ix, lexical.search(ix, asked).join(asked.select("qid", "text"), "qid"))  # texts of documents are joined last
     none = F.array().cast("array<string>")
     terms = T.highlight_terms(F.col("text"), none, F.map_from_arrays(none, none))
     return hits.select("qid", "doc_id", "rank", T.highlighted(T.snippet(F.col("raw_text")), terms).alias("snippet"))
