@@ -10,7 +10,7 @@ from lodestone.plans import catalogue
 from lodestone.session import clean
 
 DATA = "/root/testdata/sf0.001"
-SEARCHES = ["bm25_params", "bm25_rescore", "parallel_search", "serial_search", "refined_search", "bm25_weighted", "highlights", "score_bar"]
+SEARCHES = ["bm25_params", "bm25_rescore", "parallel_search", "serial_search", "refined_search", "bm25_weighted", "highlights", "score_bar", "tfidf_rescore"]
 
 
 def _table(docs, bags):
